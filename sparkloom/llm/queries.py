@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, secrets, toxicity
+from . import decontamination, near_dedup, packing, secrets, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
 
@@ -28,6 +32,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
