@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, packing, secrets, substring_dedup, toxicity
+from . import decontamination, lm_scoring, near_dedup, packing, secrets, substring_dedup, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
