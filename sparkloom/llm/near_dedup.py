@@ -6,11 +6,11 @@ step could offer.  Values within a set are spread over the slots without repetit
 
 1. One representative (the smallest doc_id) stands for all documents with the same set, however many.
 2. Signatures are cut into bands; documents that agree on a band meet in a bucket.
-3. In each bucket every member is paired with the smallest one, so pairs grow with members, not with their squares.
-   Pairs are confirmed on full sets, and confirmed ones grouped.  A first pass takes each document's most frequent
-   partner, a second the other partners outside the document's own component.
-4. Members of a bucket that are still in different components may be linked past the smallest one.  They, and only they,
-   are paired across components and confirmed, so that no link is lost to step 3.
+3. In each bucket every member meets the smallest one, and each document is compared, on full sets, with the one that
+   it meets so most often; pairs grow with members, not with their squares.  Confirmed links are grouped.
+4. Members of a bucket that are still in different components may be linked past the smallest one.  Only such buckets are
+   looked at again, in pairs of bounded blocks: a block holds its members' full sets, counts their intersections at once
+   and gives back the links that join components, at most one fewer than it has members.  So no link is lost to step 3.
 
 Hot buckets and hot partners are only ever sides of joins, which Spark splits, or keys of aggregates that combine before
 the shuffle.  Links and components stay in tables; no document's set, link or component reaches the driver.
@@ -39,6 +39,9 @@ PERCENT = 85
 #: Bands of ROWS values: a pair of similarity 0.85 shares no band with a probability of 8e-7.
 BANDS = 24
 ROWS = 5
+#: A bucket that needs it is compared in pairs of blocks of so many sets or shingles, on average.
+BLOCK_SETS = 400
+BLOCK_SHINGLES = 150_000
 
 _TOP = np.uint64(48)
 
@@ -171,6 +174,70 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _links_of_block(sets: list[np.ndarray], ids: list[int], labels: list[int], sides: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between the sides of a block (all of it if there is one) that join different labels: a spanning forest of them."""
+    n = np.array([len(s) for s in sets], np.int64)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(len(sets)), n), np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[common] = np.arange(len(common))
+    column = place[code]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(common), 4096):  # the intersections' sizes, from the shingles that two sets share
+        low, high = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), min(4096, len(common) - at)), np.float32)
+        part[row[low:high], column[low:high] - at] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    label, side = np.array(labels), np.array(sides)
+    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (label[:, None] < label[None, :])
+    if len(set(sides)) > 1:
+        linked &= side[:, None] != side[None, :]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    found = []
+    for a, b in np.argwhere(linked).tolist():
+        ra, rb = find(labels[a]), find(labels[b])
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            found.append((ids[a], ids[b]))
+    return found
+
+
+def _across(dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links between components among dealt (key, i, j, own, rep, c, packed), block by block; a block is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, widen = Memo(word_hash), zstandard.ZstdDecompressor()
+        out, now, held = Out(pa.schema([("a", pa.int64()), ("b", pa.int64())])), None, []
+
+        def judged() -> None:
+            if len({h[2] for h in held}) > 1:
+                sets = [shingles(lower_words(widen.decompress(h[3])), memo, width) for h in held]
+                for a, b in _links_of_block(sets, [h[1] for h in held], [h[2] for h in held], [h[0] for h in held], percent):
+                    out.add(max(a, b), min(a, b))
+
+        for key, i, j, own, rep, c, packed in rows_of(batches, "key", "i", "j", "own", "rep", "c", "packed"):
+            if (key, i, j) != now:
+                judged()
+                now, held = (key, i, j), []
+                if out.full():
+                    yield out.take()
+            held.append((own, rep, c, packed))
+        judged()
+        yield out.take()
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, width: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -187,38 +254,22 @@ def near_duplicates(docs: DataFrame, *, width: int = WORDS, percent: int = PERCE
     pairs = cut(pairs, "pairs")
     best = pairs.groupBy("rep").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
     members = met.groupBy("rep").agg(F.lit(True).alias("met")).join(best, "rep", "left").join(pairs.select(F.col("hub").alias("rep"), F.lit(True).alias("is_hub")).distinct(), "rep", "left")
-    texts = cut(_packed(docs).join(members, F.col("doc_id") == F.col("rep")).select("doc_id", "packed", "hub", F.coalesce("is_hub", F.lit(False)).alias("is_hub")), "texts")
+    texts = cut(_packed(docs).join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "packed", "hub", F.coalesce("is_hub", F.lit(False)).alias("is_hub")), "texts")
 
     hubs = texts.where("is_hub").select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b"))
     first = texts.where("hub is not null").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"), F.col("packed").alias("packed_a")).join(hubs, "b")
     links = cut(_confirmed(first, width, percent), "confirmed")
     grouped = components(links)
 
-    def apart(found: DataFrame, grouped: DataFrame) -> DataFrame:
-        """Those of found (a, b) whose sides are in different components."""
-        side = lambda n: grouped.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-        return found.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    def confirmed(found: DataFrame) -> DataFrame:
-        a = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b"))
-        return _confirmed(found.join(a, "a").join(b, "b"), width, percent)
-
-    more = apart(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")).join(best.select(F.col("rep").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti"), grouped)
-    links_2 = cut(confirmed(more), "confirmed")
-    if not links_2.isEmpty():
-        links = links.union(links_2)
-        grouped = components(links)
-
     labelled = met.join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_rows = cut(labelled.join(mixed, "key"), "mixed")
-    one, two = open_rows.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), open_rows.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = one.join(two, "key").where("ca < cb").where(sizes(F.col("na"), F.col("nb"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    across = across.join(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti")
-    links_3 = cut(confirmed(across), "confirmed")
-    if not links_3.isEmpty():
-        grouped = components(links.union(links_3))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks.alias("g")).where("low <> high").select("key", "g")
+    dealt = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    dealt = dealt.join(texts.select(F.col("doc_id").alias("rep"), "packed").hint("merge"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "packed")
+    across = cut(_across(dealt, width, percent), "across")
+    if not across.isEmpty():
+        grouped = components(links.union(across))
 
     named = reps.select("set_hash", "rep").join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     done = signed_docs.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
