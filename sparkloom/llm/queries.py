@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_scoring, near_dedup, packing, quality, secrets, substring_dedup, toxicity
+from . import decontamination, lm_scoring, near_dedup, packing, quality, secrets, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(spark, warc.write(table(spark, sf_dir, "pages")))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_warc": op6_warc,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
