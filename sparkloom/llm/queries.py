@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_scoring, near_dedup, packing, quality, secrets, substring_dedup, toxicity, warc
+from . import decontamination, lm_scoring, near_dedup, oracle, packing, quality, secrets, substring_dedup, toxicity, url_filters, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_url_filters": op4_url_filters,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_warc": op6_warc,
     "op7_lm_scoring": op7_lm_scoring,
@@ -58,4 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": oracle.OP3,
+    "op4_url_filters": oracle.OP4,
+    "op6_warc": oracle.OP6,
+    "op8_substring_dedup": oracle.OP8,
+}
