@@ -361,10 +361,10 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH names AS (SELECT DISTINCT split_part(split_part(url, '://', 2), '?', 1) AS dst FROM pages),
 docs AS (SELECT 'p' || page_id || '.html' AS src, html || ' ' || url AS content FROM pages),
-n AS (SELECT dst, regexp_extract(dst, '[^/]*$') AS base FROM names)
-SELECT src, dst FROM docs, n
-WHERE regexp_matches(base, '[\pL\pN_]') AND contains(content, base)
-  AND (regexp_matches(content, '(?:^|[^\pL\pN_])' || regexp_escape(dst) || '(?:[^\pL\pN_]|$)') OR regexp_matches(content, '(?:^|[^\pL\pN_])' || regexp_escape(base) || '(?:[^\pL\pN_]|$)'))""")
+n AS (SELECT dst, regexp_extract(dst, '[^/]*$') AS base FROM names),
+near AS MATERIALIZED (SELECT src, dst, base, content FROM docs JOIN n ON contains(content, base) WHERE regexp_matches(base, '[\pL\pN_]'))
+SELECT src, dst FROM near
+WHERE regexp_matches(content, '(?:^|[^\pL\pN_])' || regexp_escape(dst) || '(?:[^\pL\pN_]|$)') OR regexp_matches(content, '(?:^|[^\pL\pN_])' || regexp_escape(base) || '(?:[^\pL\pN_]|$)')""")
 def text_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which page's text and address name which address, or its last part."""
     pages = table(spark, sf_dir, "pages")
@@ -374,7 +374,7 @@ def text_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) AS k FROM lineitem GROUP BY 1, 2),
-l AS (SELECT l_suppkey, list(l_partkey ORDER BY k) AS p FROM o GROUP BY 1)
+l AS (SELECT l_suppkey, list(l_partkey ORDER BY k, l_partkey) AS p FROM o GROUP BY 1)
 SELECT l_suppkey, array_to_string(p[:40], ',') AS parts, len(p) > 40 AS truncated FROM l""")
 def top40_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 distinct parts of each supplier, in the order of their lines."""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -12,4 +17,23 @@ def session(master: str | None = None, *, name: str = "sparkloom", partitions: i
         builder = builder.master(master)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make sure that Python workers can import this package: where PYTHONPATH doesn't say so, send it to them, once per application."""
+    root = Path(__file__).resolve().parent.parent
+    known = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in known or spark.sparkContext.applicationId in _shipped:
+        return
+    _shipped.add(spark.sparkContext.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted((root / "sparkloom").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
