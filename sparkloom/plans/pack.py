@@ -45,22 +45,21 @@ class Pack:
 
 
 def save(pack: Pack, path: str, only: tuple[str, ...] | None = None) -> str:
-    """Write the tables, each to a new folder that takes the old one's place when it is whole."""
+    """Write the tables beside the old ones, which a new pack may still be read from, then put each in its old one's place."""
+    made = {}
     for name, df in pack.tables().items():
         if only is None or name in only:
-            swap(df, f"{path}/{name}")
-    return path
-
-
-def swap(df: DataFrame, path: str) -> None:
-    spark = df.sparkSession
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(new)
+            made[name] = f"{path}/.new-{uuid.uuid4().hex}-{name}"
+            df.write.parquet(made[name])
+    spark = pack.files.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    old_path, new_path = hadoop(path), hadoop(new)
-    fs = old_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old_path, True)
-    fs.rename(new_path, old_path)
+    for name, new in made.items():
+        old = hadoop(f"{path}/{name}")
+        fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        fs.rename(hadoop(new), old)
+        spark.catalog.refreshByPath(f"{path}/{name}")
+    return path
 
 
 def load(spark: SparkSession, path: str) -> Pack:
