@@ -127,8 +127,9 @@ def _bins(found: np.ndarray, n: int) -> np.ndarray:
 
 def _cut_bins(found: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     own, first = np.unique(_bins(found, n), return_index=True)
-    for b, a, z in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(found)], strict=True):
-        yield b, slice(a, z)
+    ends = [*first[1:].tolist(), len(found)]
+    for k, b in enumerate(own.tolist()):
+        yield b, slice(int(first[k]), ends[k])
 
 
 def _low_bytes(x: np.ndarray, width: int) -> bytes:
