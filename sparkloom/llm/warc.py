@@ -217,7 +217,9 @@ class WarcReader(DataSourceReader):
         # what isn't a response is small and holds the HTTP headers
         return 2 if self.payload or row["record_type"] != "response" else 1
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark hands over where nothing was planned
+            return
         system, _ = _fs(self.path)
         schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("content_length", pa.int64()), ("payload_length", pa.int64()), ("http_headers", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
         rows, held = [], 0
