@@ -76,7 +76,7 @@ def related(rows: list[np.ndarray], labels: np.ndarray, least: float = RELATED)
     return np.flatnonzero((each >= 3) & (np.nan_to_num(chi, posinf=0) >= least))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, epochs: int = 100, rate: float = 0.1, decay: float = 0.0, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss, over batches of 64 rows in a seeded order."""
     slot = np.full(BUCKETS, 0, np.int32)
     if not len(labels) or labels.all() or not labels.any():
