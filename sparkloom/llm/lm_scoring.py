@@ -2,9 +2,10 @@
 
 The vocabulary is a public tokenizer's, as it is.  Its pieces' probabilities come from the training documents: every
 distinct training word is segmented by the tokenizer, and each piece counts once for every time that it occurs in one of
-them; new words resemble the list of known ones, not the running text.  Then a
-forward recursion over each distinct word's lattice adds up the probabilities of all its segmentations into pieces; the
-word itself, as seen in training, is one more path.  The paths through pieces share the mass that Good and Turing leave
+them; new words resemble the list of known ones, not the running text.  ROUNDS of expectation-maximization over the same
+words' lattices (forward and backward) replace those counts by expected ones.  Then a forward recursion over each
+distinct word's lattice adds up the probabilities of all its segmentations into pieces; the word itself, as seen in
+training, is one more path.  The paths through pieces share the mass that Good and Turing leave
 for unseen words (words seen once over all tokens), the whole words the rest.  No piece crosses a word, so a text's
 probability is the product of its words' and of the end's.
 
@@ -25,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ FOLDS, HELD = 7, 2
 HEAD = 200_000
 #: Added to each piece's count.
 SMOOTHING = 0.1
+#: Passes over the training words that weigh their segmentations.
+ROUNDS = 2
 
 _SPACE = "▁"
 #: Up to so many characters a word's probability is added up as it is: 1e-7 a character stays far above underflow.
@@ -61,7 +65,7 @@ def _tokenizer(path: str | None):
 class Pieces:
     """Probabilities of pieces, with the bytes that stand for characters without a piece."""
 
-    def __init__(self, counts: dict[int, int], ends: int, path: str | None = None, smoothing: float = SMOOTHING):
+    def __init__(self, counts: dict[int, float], ends: int, path: str | None = None, smoothing: float = SMOOTHING):
         tokenizer = _tokenizer(path)
         size = tokenizer.get_piece_size()
         total = sum(counts.values()) + ends + smoothing * (size + 1)
@@ -118,6 +122,74 @@ class Pieces:
         return f[n]
 
 
+class Lattices:
+    """Expected counts of pieces over many words' lattices at once, by array operations."""
+
+    def __init__(self, pieces: Pieces, path: str | None = None):
+        tokenizer = _tokenizer(path)
+        self.pieces = pieces
+        self.ids = {piece: tokenizer.piece_to_id(piece) for piece in pieces.p}
+        self.byte_ids = [tokenizer.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        begins = sorted(pieces.begins)
+        key = np.array([self._key(s) for s in begins], np.uint64)
+        order = np.argsort(key)
+        self.key = key[order]
+        self.piece = np.array([self.ids.get(s, -1) for s in begins])[order]
+        self.p = np.array([pieces.p.get(s, 0.0) for s in begins])[order]
+
+    @staticmethod
+    def _key(s: str) -> int:
+        h = 0
+        for c in s:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def _edges(self, letters: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(word, start, end, piece or -1 - character, probability) of all edges."""
+        word, start = np.nonzero(np.arange(letters.shape[1]) < length[:, None])
+        h, end, found = np.zeros(len(word), np.uint64), start.copy(), []
+        while len(word):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + letters[word, end].astype(np.uint64) + np.uint64(1)
+            end = end + 1
+            at = np.searchsorted(self.key, h)
+            at[at == len(self.key)] = 0
+            known = self.key[at] == h
+            whole = known & (self.piece[at] >= 0)
+            found.append((word[whole], start[whole], end[whole], self.piece[at[whole]], self.p[at[whole]]))
+            first = end == start + 1
+            if (odd := first & ~whole).any():  # a character without a piece is spelled in bytes
+                char = letters[word[odd], start[odd]]
+                kinds, kind = np.unique(char, return_inverse=True)
+                found.append((word[odd], start[odd], end[odd], -1 - char.astype(np.int64), np.array([self.pieces._unknown(chr(c)) for c in kinds])[kind]))
+            more = known & (end < length[word])
+            word, start, end, h = word[more], start[more], end[more], h[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def expect(self, words: list[str], into: Counter) -> None:
+        """Add the pieces' expected counts in words, none of them longer than _SHORT with its space, to a counter."""
+        n, length = len(words), np.array([len(w) for w in words])
+        wide = int(length.max())
+        letters = np.zeros((n, wide), np.uint32)
+        letters[np.arange(wide) < length[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        word, start, end, piece, p = self._edges(letters, length)
+        f, b = np.zeros((wide + 1, n)), np.zeros((wide + 1, n))
+        f[0], b[length, np.arange(n)] = 1, 1
+        for order, key, ahead in ((np.argsort(end, kind="stable"), end, True), (np.argsort(-start, kind="stable"), start, False)):
+            cuts = np.flatnonzero(np.diff(key[order])) + 1
+            for part in np.split(order, cuts):
+                own = word[part]
+                if ahead:
+                    f[end[part[0]]] = np.bincount(own, f[start[part], own] * p[part], n)
+                else:
+                    b[start[part[0]]] += np.bincount(own, b[end[part], own] * p[part], n)
+        total = f[length, np.arange(n)]
+        kinds, kind = np.unique(piece, return_inverse=True)
+        expected = np.bincount(kind, f[start, word] * p * b[end, word] / total[word])
+        for i, x in zip(kinds.tolist(), expected.tolist(), strict=True):
+            for own in [i] if i >= 0 else [self.byte_ids[c] for c in chr(-1 - i).encode()]:
+                into[own] += x
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c, n): how often each lower-cased word occurs in training documents and in all."""
     marked = docs.select("text", held_out().alias("held"))
@@ -141,28 +213,49 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, "word binary, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def piece_counts(counts: DataFrame, path: str | None = None) -> dict[int, int]:
-    """How often each piece occurs when the tokenizer segments the distinct training words; one number per piece of the vocabulary."""
+def _segmented(words: list[str], tokenizer, into: Counter) -> None:
+    """Count the pieces of the tokenizer's own segmentation; it would normalize odd characters, so those count one by one."""
+    for ids in tokenizer.encode([w for w in words if not _ODD.search(w)], num_threads=1):
+        into.update(ids)
+    space = tokenizer.piece_to_id(_SPACE)
+    for w in filter(_ODD.search, words):
+        into[space] += 1
+        for char in w:
+            i = tokenizer.piece_to_id(char)
+            into.update([i] if not tokenizer.is_unknown(i) else [tokenizer.piece_to_id(f"<0x{b:02X}>") for b in char.encode()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, found = _tokenizer(path), Counter()
-        space, odd = tokenizer.piece_to_id(_SPACE), re.compile(r"[^!-~À-ɏ]")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                words = [w.decode() for w in part.column("word").to_pylist()]
-                # the tokenizer would normalize other characters; the lattice reads the text as it is
-                for ids in tokenizer.encode([w for w in words if not odd.search(w)], num_threads=1):
-                    found.update(ids)
-                for w in filter(odd.search, words):
-                    found[space] += 1
-                    for char in w:
-                        i = tokenizer.piece_to_id(char)
-                        found.update([i] if not tokenizer.is_unknown(i) else [tokenizer.piece_to_id(f"<0x{b:02X}>") for b in char.encode()])
-        yield pa.record_batch({"piece": pa.array(list(found), pa.int64()), "k": pa.array(list(found.values()), pa.int64())})
-
-    rows = counts.where("c > 0").mapInArrow(run, "piece bigint, k bigint").groupBy("piece").agg(F.sum("k").alias("k")).collect()
-    return {r["piece"]: r["k"] for r in rows}
+
+_ODD = re.compile(r"[^!-~À-ɏ]")
+
+
+def piece_counts(counts: DataFrame, ends: int, path: str | None = None, rounds: int = ROUNDS) -> dict[int, float]:
+    """How often each piece occurs in the distinct training words, one number per piece of the vocabulary.
+
+    The tokenizer's segmentations come first; in each further round every word adds its pieces' expected counts (a word
+    longer than _SHORT its segmentation as before).
+    """
+    spark, found = counts.sparkSession, {}
+    for k in range(rounds + 1):
+        sent = spark.sparkContext.broadcast(found) if k else None
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tokenizer, made = _tokenizer(path), Counter()
+            lattices = Lattices(Pieces(sent.value, ends, path), path) if sent else None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 10_000):
+                    words = [w.decode() for w in batch.slice(at, 10_000).column("word").to_pylist()]
+                    if lattices is None:
+                        _segmented(words, tokenizer, made)
+                        continue
+                    _segmented([w for w in words if len(w) >= _SHORT], tokenizer, made)
+                    if short := sorted((_SPACE + w for w in words if len(w) < _SHORT), key=len):
+                        for low in range(0, len(short), 2500):
+                            lattices.expect(short[low : low + 2500], made)
+            yield pa.record_batch({"piece": pa.array(list(made), pa.int64()), "k": pa.array(list(map(float, made.values())), pa.float64())})
+
+        rows = counts.where("c > 0").select("word").mapInArrow(run, "piece bigint, k double").groupBy("piece").agg(F.sum("k").alias("k")).collect()
+        found = {r["piece"]: r["k"] for r in rows}
+    return found
 
 
 def score(docs: DataFrame, *, path: str | None = None, head: int = HEAD) -> DataFrame:
@@ -178,7 +271,8 @@ def score(docs: DataFrame, *, path: str | None = None, head: int = HEAD) -> Data
 
     def mixed(c: int, lp: float) -> float:
         return math.log10((1 - unseen) * c / total + unseen * 10**lp) if c and lp > -250 else math.log10((1 - unseen) * c / total) if c and unseen < 1 else math.log10(unseen) + lp
-    pieces = spark.sparkContext.broadcast(Pieces(piece_counts(counts, path), int(ends > 0), path))
+
+    pieces = spark.sparkContext.broadcast(Pieces(piece_counts(counts, int(ends > 0), path), int(ends > 0), path))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

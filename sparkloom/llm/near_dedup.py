@@ -10,7 +10,9 @@ step could offer.  Values within a set are spread over the slots without repetit
    it meets so most often; pairs grow with members, not with their squares.  Confirmed links are grouped.
 4. Members of a bucket that are still in different components may be linked past the smallest one.  Only such buckets are
    looked at again, in pairs of bounded blocks: a block holds its members' full sets, counts their intersections at once
-   and gives back the links that join components, at most one fewer than it has members.  So no link is lost to step 3.
+   and gives back the links that join components, at most one fewer than it has members.  Blocks of the smallest member's
+   own component meet blocks of the others only, so a large group with a few strays costs no more than its size.  So no
+   link is lost to step 3.
 
 Hot buckets and hot partners are only ever sides of joins, which Spark splits, or keys of aggregates that combine before
 the shuffle.  Links and components stay in tables; no document's set, link or component reaches the driver.
@@ -248,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WORDS, percent: int = PERCE
 
     keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.count("*").alias("size")).where("size > 1").drop("size")
-    met = cut(keyed.join(buckets, "key"), "met")
+    met = cut(keyed.join(cut(buckets, "buckets"), "key"), "met")  # of two stored sides Spark can split a hot key
 
     pairs = met.where(F.col("rep") != F.col("hub")).where(sizes(F.col("n"), F.col("hub_n"))).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
     pairs = cut(pairs, "pairs")
@@ -262,10 +264,14 @@ def near_duplicates(docs: DataFrame, *, width: int = WORDS, percent: int = PERCE
     grouped = components(links)
 
     labelled = met.join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks.alias("g")).where("low <> high").select("key", "g")
-    dealt = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    dealt = dealt.join(texts.select(F.col("doc_id").alias("rep"), "packed").hint("merge"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", "rep").alias("hub_c")).where("low <> high").select("key", "hub_c")
+    sided = cut(labelled.join(cut(mixed, "mixed"), "key").withColumn("late", F.col("c") != F.col("hub_c")).drop("hub_c"), "sided")
+    blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / BLOCK_SETS, F.sum(F.when(own, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    sizes_of = cut(sided.groupBy("key").agg(blocks(~F.col("late")).alias("g"), blocks(F.col("late")).alias("h")), "sizes")
+    place = F.xxhash64("rep")
+    dealt = sided.join(sizes_of, "key").withColumn("own", F.when(F.col("late"), F.col("g") + F.pmod(place, F.col("h"))).otherwise(F.pmod(place, F.col("g"))).cast("int"))
+    partners = F.sequence(F.when(F.col("late"), 0).otherwise(F.col("g")), F.col("g") + F.col("h") - 1)
+    dealt = dealt.join(texts.select(F.col("doc_id").alias("rep"), "packed").hint("merge"), "rep").withColumn("other", F.explode(partners))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "packed")
     across = cut(_across(dealt, width, percent), "across")
     if not across.isEmpty():
