@@ -418,6 +418,28 @@ def test_lattice_equals_all_segmentations():
     assert math.isfinite(pieces.word(b"q" * 5000))
 
 
+def test_expected_counts_equal_all_segmentations():
+    pieces = lm_scoring.Pieces({k: 1 + k % 7 for k in range(32000)}, 3)
+    lattices, got, want = lm_scoring.Lattices(pieces), Counter(), Counter()
+    words = ["▁a", "▁the", "▁x☃y", "▁naïve", "▁the"]
+
+    def ways(s):
+        if not s:
+            yield 1.0, []
+        for k in range(1, len(s) + 1):
+            if s[:k] in pieces.p:
+                yield from ((pieces.p[s[:k]] * p, [lattices.ids[s[:k]], *own]) for p, own in ways(s[k:]))
+        if s and s[0] not in pieces.p:
+            yield from ((pieces._unknown(s[0]) * p, [lattices.byte_ids[b] for b in s[0].encode()] + own) for p, own in ways(s[1:]))
+
+    for w in words:
+        found = list(ways(w))
+        for p, own in found:
+            want.update({i: p / sum(q for q, _ in found) * k for i, k in Counter(own).items()})
+    lattices.expect(words, got)
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_lm_odd_tables(spark):
     rows = lm_scoring.score(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(math.isfinite(r["score"]) for r in rows)
