@@ -43,15 +43,16 @@ def features(files: DataFrame) -> DataFrame:
 def compress_plain(files: DataFrame, *, block: int = compress.BLOCK, width: int = compress.TEXT) -> DataFrame:
     """(file, compressed) of plain text without Python: runs of lines by array functions, kept within each row."""
     line = F.transform(text.lines(F.col("content")), lambda x: F.when(F.length(x) > width, F.concat(F.substring(x, 1, width), F.lit(f" {compress.mark('text')}"))).otherwise(x))
-    lines = files.select("file", line.alias("lines"))
-    # a fold over the lines holds (what is kept, the length of the present run)
-    state = "struct<out:array<string>,run:int>"
-    left_out = lambda run: F.when(run > block, F.array(F.concat(F.lit(f"{compress.MARK} ("), (run - block).cast("string"), F.lit(f"{compress.LEFT_OUT['lines']})")))).otherwise(F.array().cast("array<string>"))
-
-    def step(acc, x):
-        blank = F.trim(F.regexp_replace(x, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]", "")) == ""
-        out = F.when(blank, F.concat(acc["out"], left_out(acc["run"]), F.array(x))).when(acc["run"] < block, F.concat(acc["out"], F.array(x))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.when(blank, F.lit(0)).otherwise(acc["run"] + 1).alias("run"))
-
-    folded = F.aggregate("lines", F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("run")).cast(state), step, lambda acc: F.array_join(F.concat(acc["out"], left_out(acc["run"])), "\n"))
-    return lines.select("file", folded.alias("compressed"))
+    is_blank = lambda x: ~x.rlike(r"[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]")
+    # the places of blank lines part the others into runs; each run is sliced once
+    lines = files.select("file", line.alias("lines")).withColumn("blank", F.filter(F.transform("lines", lambda x, k: F.when(is_blank(x), k)), lambda k: k.isNotNull()))
+    n, at, last = F.size("lines"), F.col("blank"), F.size("blank")
+
+    def run(k):
+        first = F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0))
+        size = F.coalesce(F.get(at, k), n) - first
+        left_out = F.array(F.concat(F.lit(f"{compress.MARK} ("), (size - block).cast("string"), F.lit(f"{compress.LEFT_OUT['lines']})")))
+        none = F.array().cast("array<string>")
+        return F.concat(F.slice("lines", first + 1, F.least(size, F.lit(block))), F.when(size > block, left_out).otherwise(none), F.when(k < last, F.array(F.get("lines", F.get(at, k)))).otherwise(none))
+
+    return lines.select("file", F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), last), run)), "\n").alias("compressed"))

@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import code, text
 
 
-
 def references(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(src, dst): src's text names dst by its path or its file name, with no letter, digit or underscore next to it.
 
-    Texts and file names meet on the words of the names' base names, by a hash join, and only the pairs that meet are
-    verified by a pattern.  Names whose base name has signs outside words are found by their longest word.
+    Texts and file names meet on the words of the names' base names, by a hash join.  Where the base name is one word the
+    meeting is the mention; only the other pairs are verified by a pattern.  Names whose base name has signs outside words
+    are found by their longest word.
     """
     names = (names or files).select(F.col("file").alias("dst")).distinct()
     word = r"[\p{L}\p{N}_]+"
     # the key: the longest run of word characters of the base name, which any mention must hold as a whole run
     runs = F.array_sort(F.regexp_extract_all(text.basename(F.col("dst")), F.lit(word), F.lit(0)), lambda a, b: F.length(b) - F.length(a))
-    keyed = names.select("dst", F.try_element_at(runs, F.lit(1)).alias("key")).where("key is not null")
+    keyed = names.select("dst", F.try_element_at(runs, F.lit(1)).alias("key")).where("key is not null").withColumn("sure", F.col("key") == text.basename(F.col("dst")))
     texts = files.where(~text.extension(F.col("file")).isin(list(code.LANGUAGES)) & F.col("content").isNotNull()).select(F.col("file").alias("src"), "content")
     tokens = texts.select("src", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))).alias("key"))
-    met = tokens.join(keyed, "key").where("src <> dst").select("src", "dst").distinct()
-    found = met.join(texts, "src").where(text.mentions(F.col("content"), F.col("dst")) | text.mentions(F.col("content"), text.basename(F.col("dst"))))
-    return found.select("src", "dst")
+    met = tokens.join(keyed, "key").where("src <> dst").select("src", "dst", "sure").distinct()
+    base = text.basename(F.col("dst"))
+    verified = F.contains("content", base) & (text.mentions(F.col("content"), F.col("dst")) | text.mentions(F.col("content"), base))
+    open_pairs = met.where("not sure").join(texts, "src").where(verified)
+    return met.where("sure").select("src", "dst").union(open_pairs.select("src", "dst"))
 
 
 def with_references(features: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sparkloom.operators import graph, scoring
-from sparkloom.plans import api, catalog, cli, enrich, jobs, skill
+from sparkloom.plans import api, catalog, cli, enrich, jobs, serve, skill
 from sparkloom.plans import pack as packs
 from sparkloom.sources import project_tree
 
@@ -137,6 +137,49 @@ def test_cli(spark, project, tmp_path, capsys):
     assert "src/b.py:1: def bee():" in text and '"is_stale": false' in text
 
 
+def test_http(spark, project, saved, tmp_path):
+    import threading
+    from urllib import error, request
+
+    own = packs.save(packs.load(spark, saved), str(tmp_path / "copy"))
+    service = serve.Service(spark, str(tmp_path / "settings.json"))
+    server = serve.http(service, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with request.urlopen(f"http://127.0.0.1:{server.server_port}/api/dependents?pack={own}&file=src/util.py") as r:
+        assert json.load(r) == ["src/a.py"]
+    with pytest.raises(error.HTTPError):
+        request.urlopen(f"http://127.0.0.1:{server.server_port}/nothing")
+    server.shutdown()
+    post = lambda path, **body: service.answer("POST", path, json.dumps(body).encode())
+    status, found = post("/api/relationships/link", pack=own, file="src/b.py", target="package.json")
+    assert status == 200 and found["src/b.py"]["internal"] == ["package.json"]
+    assert post("/api/relationships/link", pack=own, file="src/b.py", target="src/a.py")[0] == 409
+    assert post("/api/relationships/unlink", pack=own, file="src/b.py", target="package.json")[1]["src/b.py"]["internal"] == []
+    assert service.answer("GET", f"/api/detail?pack={own}&file=src/a.py&start=4&end=4") == (200, {"text": "def handler(q):"})
+    assert service.answer("GET", f"/api/search?project={project}&pattern=(")[0] == 400 and service.answer("GET", "/api/detail?pack=x")[0] == 400
+    assert service.answer("GET", f"/api/overview?pack={tmp_path}/none")[0] == 404 and service.answer("POST", "/api/pack", b"{")[0] == 400
+    assert service.answer("GET", "/api/pack/status?job=none")[0] == 404
+    job = post("/api/pack", project=project, output=str(tmp_path / "made" / "p"), no_llm=True)[1]["job"]
+    service.jobs.jobs[job].thread.join()
+    assert service.answer("GET", f"/api/pack/status?job={job}")[1]["state"] == "reviewing" and service.answer("GET", f"/api/pack/review?job={job}")[0] == 200
+    assert post("/api/pack/cancel", job=job)[0] == 200 and settings_of(service, project) == str(tmp_path / "made")
+
+
+def settings_of(service, project):
+    return service.answer("GET", "/api/settings")[1]["project_output_dirs"][project]
+
+
+def test_tools(saved):
+    import io
+
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "get_blast_radius", "arguments": {"pack_path": saved, "file": "src/util.py"}}}, {"id": 4, "method": "tools/call", "params": {"name": "get_detail", "arguments": {"pack_path": saved, "file": "zz"}}}, {"id": 5, "method": "zz"}]
+    out = io.StringIO()
+    serve.serve_tools(io.StringIO("\n".join(map(json.dumps, asked)) + "\nnot json\n"), out)
+    replies = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r["id"] for r in replies] == [1, 2, 3, 4, 5, None] and {t["name"] for t in replies[1]["result"]["tools"]} == set(api.QUESTIONS)
+    assert json.loads(replies[2]["result"]["content"][0]["text"]) == ["README.md", "src/a.py"] and replies[3]["result"]["isError"] and "error" in replies[4]
+
+
 def test_registered_queries(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
