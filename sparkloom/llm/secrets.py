@@ -2,8 +2,9 @@
 
 A worklist holds layers.  Each is scanned, then unwrapped: escapes of URLs and of Unicode (percent, \\u, \\x, HTML
 references) are replaced throughout the layer; runs of base64 are decoded and, if they hold one of the known compressed
-formats, inflated.  What comes out is a new layer unless its digest was seen before, so that the work ends at a fixpoint
-even where layers contain each other.  Every layer maps its positions to its parent's; a secret found inside is reported
+formats, inflated.  What comes out is a new layer unless its digest was seen before at the same span of the original text,
+so that the work ends at a fixpoint even where layers contain each other, and a layer that occurs at several places is
+followed at each of them.  Every layer maps its positions to its parent's; a secret found inside is reported
 as the span of the original text that it came from.
 
 Nulls, ties, repeats: a null text is an empty one; rows are scanned each for itself, so repeats give repeats; findings at
@@ -179,7 +180,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     spans = list(base)
     taken: dict[str, list[tuple[int, int]]] = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}  # sorted, disjoint
     first = Layer(text)
-    work, seen = [first], {_digest(text)}
+    work, seen = [first], {(_digest(text), 0, len(text))}
     while work:
         layer = work.pop()
         if layer is not first:
@@ -195,7 +196,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
         if "\\" in layer.text or "&" in layer.text:
             inner.append(_replaced(layer, _ESCAPE, _escape))
         for new in inner:
-            if new is not None and (d := _digest(new.text)) not in seen:
+            if new is not None and (d := (_digest(new.text), *new.back(0, len(new.text)))) not in seen:
                 seen.add(d)
                 work.append(new)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])

@@ -530,6 +530,17 @@ def test_secret_layers_end():
     assert secrets.inflate(gzip.compress(b"abc" * 1000)[:-9]) is not None
 
 
+def test_every_copy_of_a_wrapped_secret_is_found():
+    secret = b'password = "hunter2hunter2"'
+    plain, packed = base64.b64encode(secret).decode(), base64.b64encode(gzip.compress(secret, mtime=0)).decode()
+    for hidden in ([plain, plain], [packed, packed], [plain, packed, urllib.parse.quote(secret.decode(), safe=""), plain]):
+        text = " and ".join(hidden)
+        base, spans = secrets.scan(text)
+        assert base == [] and len(spans) == len(hidden)
+        clean = secrets.masked(text, spans)
+        assert clean.count("[assign]") == len(hidden) and plain not in clean and packed not in clean
+
+
 def test_secrets_odd_tables(spark):
     rows = secrets.find(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
