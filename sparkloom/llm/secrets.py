@@ -8,8 +8,10 @@ followed at each of them.  Every layer maps its positions to its parent's; a sec
 as the span of the original text that it came from.
 
 Nulls, ties, repeats: a null text is an empty one; rows are scanned each for itself, so repeats give repeats; findings at
-the same start are ordered by kind (assign, access, hex), then end.  An inflated layer may have LARGEST bytes at most (a
-decompression bomb ends there and what came before is scanned); texts themselves have no limit.
+the same start are ordered by kind (assign, access, hex), then end.  Compressed layers are inflated however deep they lie
+in each other, streams right behind one another together; a stream of more than LARGEST bytes (a decompression bomb) is
+scanned in blocks of that size, so that memory is bounded, and each begins with the OVERLAP bytes before it: only what
+is longer than those and crosses a block's border can be lost.  Of a damaged stream, what came before is scanned.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,10 @@ from .common import Out
 
 KINDS = ("assign", "access", "hex")
 LARGEST = 64 << 20
+#: What two neighbouring blocks of a larger stream share.
+OVERLAP = 8 << 20
+#: Bytes that go into a decoder and come out of it at once.
+CHUNK, PIECE = 1 << 12, 1 << 16
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -40,6 +48,9 @@ _KEYS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|lt|gt|equals|colon|sol|lowbar|plus|period);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_HEAD = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+LONGEST_HEAD = 6
+_ZLIB = type(zlib.decompressobj())
 
 Span = tuple[str, int, int]
 
@@ -121,38 +132,126 @@ def _escape(run: str) -> tuple[str, int] | None:
     return (chr(code), 0) if code < 0xD800 or 0xDFFF < code < 0x110000 else None
 
 
-def inflate(data: bytes, largest: int = LARGEST) -> bytes | None:
-    """data inflated, if it starts like gzip, zlib, bzip2 or xz; what comes out of a damaged stream before the damage."""
-    if data[:2] == b"\x1f\x8b":
-        made, parts = zlib.decompressobj(31), []
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        made, parts = zlib.decompressobj(15), []
-    elif data[:3] == b"BZh":
-        made, parts = bz2.BZ2Decompressor(), []
-    elif data[:6] == b"\xfd7zXZ\x00":
-        made, parts = lzma.LZMADecompressor(), []
-    else:
-        return None
+def _fed(made, data: bytes) -> Iterator[bytes]:
+    """What comes out when data goes in, in pieces of bounded size."""
+    while True:
+        if out := made.decompress(data, PIECE):
+            yield out
+        data = getattr(made, "unconsumed_tail", b"")
+        if made.eof or (not data and len(out) < PIECE if isinstance(made, _ZLIB) else made.needs_input):
+            return
+
+
+class Inflated:
+    """What a compressed stream and those right behind it hold, in pieces; end is where they end, sound whether undamaged."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.end, self.sound = chunks, 0, True
+
+    def __iter__(self) -> Iterator[bytes]:
+        held = b""
+        while True:
+            while len(held) < LONGEST_HEAD and (more := next(self.chunks, b"")):
+                held += more
+            if self.end and held[:1] == b"\0":  # padding between streams
+                self.end += len(held) - len(held := held.lstrip(b"\0"))
+                continue
+            if not (head := _HEAD.match(held)):
+                return
+            made = zlib.decompressobj(31) if head[0][:1] == b"\x1f" else zlib.decompressobj(15) if head[0][:1] == b"x" else bz2.BZ2Decompressor() if head[0][:1] == b"B" else lzma.LZMADecompressor()
+            while not made.eof:
+                data = held[:CHUNK] or next(self.chunks, b"")
+                held = held[CHUNK:]
+                if not data:
+                    self.sound = False
+                    return
+                self.end += len(data)
+                spare, put = made.copy() if isinstance(made, _ZLIB) else None, 0
+                try:
+                    for out in _fed(made, data):
+                        put += len(out)
+                        yield out
+                except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                    self.sound = False
+                    if spare is not None:
+                        yield from _before_damage(spare, data, put)
+                    return
+            self.end -= len(made.unused_data)
+            held = made.unused_data + held
+
+
+def _before_damage(made, data: bytes, put: int) -> Iterator[bytes]:
+    """zlib gives nothing of the call that meets the damage: byte by byte, then, but for the first put bytes."""
     try:
-        for at in range(0, len(data), 4096):
-            parts.append(made.decompress(data[at : at + 4096], largest - sum(map(len, parts)) or 1))
-            if sum(map(len, parts)) >= largest or made.eof:
-                break
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        pass
+        for k in range(len(data)):
+            for out in _fed(made, data[k : k + 1]):
+                if len(out) > put:
+                    yield out[put:]
+                put = max(0, put - len(out))
+    except zlib.error:
+        return
+
+
+def _chunks(data: bytes, at: int = 0) -> Iterator[bytes]:
+    return (data[k : k + CHUNK] for k in range(at, len(data), CHUNK))
+
+
+def inflate(data: bytes, largest: int = LARGEST) -> bytes | None:
+    """The first bytes of data inflated, if it starts like gzip, zlib, bzip2 or xz; what comes out of a damaged stream before the damage."""
+    parts, size = [], 0
+    for part in Inflated(_chunks(data)):
+        parts.append(part[: largest - size])
+        size += len(parts[-1])
+        if size >= largest:
+            break
     return b"".join(parts) or None
 
 
+def _blocks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The pieces as blocks of about LARGEST bytes at most; each begins with the end of the one before it."""
+    held, size, fresh = [], 0, False
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        fresh = True
+        if size >= LARGEST:
+            block = b"".join(held)
+            yield block
+            held, size, fresh = [block[-OVERLAP:]], min(size, OVERLAP), False
+    if fresh:
+        yield b"".join(held)
+
+
+class Packed(NamedTuple):
+    """Bytes that a span of a layer stands for."""
+
+    data: bytes
+    layer: Layer
+    span: tuple[int, int]
+
+
+def _contents(stream: Inflated, packed: Packed) -> Iterator[Packed]:
+    """All that a stream holds; what is too large for one block is inflated further as it comes, or given in blocks."""
+    pieces = iter(stream)
+    blocks = _blocks(pieces)
+    first = next(blocks, None)
+    if first is not None and len(first) >= LARGEST and _HEAD.match(first):
+        yield from _contents(Inflated(chain(_chunks(first), pieces)), packed)
+    elif first is not None:
+        for block in chain([first], blocks):
+            yield packed._replace(data=block)
+
+
+def _unpacked(packed: Packed) -> Iterator[Layer | Packed]:
+    """The bytes as a text, and what streams at their start hold."""
+    if (text := _readable(packed.data)) is not None:
+        yield Layer(text, packed.layer, [0], [(*packed.span, False)])
+    if _HEAD.match(packed.data):
+        yield from _contents(Inflated(_chunks(packed.data)), packed)
+
+
 def _readable(data: bytes) -> str | None:
-    for _ in range(4):  # compressed layers right inside each other
-        inner = inflate(data)
-        if inner is None:
-            break
-        data = inner
-    try:
-        text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
-    except UnicodeDecodeError:
-        return None
+    text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8", "replace")
     odd = sum(map(text.count, _CONTROLS))
     return text if text and not odd else None
 
@@ -160,7 +259,7 @@ def _readable(data: bytes) -> str | None:
 _CONTROLS = [chr(c) for c in range(32) if c not in (9, 10, 11, 12, 13)]
 
 
-def _base64_layers(layer: Layer) -> Iterator[Layer]:
+def _base64_layers(layer: Layer) -> Iterator[Packed]:
     for m in _BASE64.finditer(layer.text):
         run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -169,8 +268,16 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except ValueError:
             continue
-        if (text := _readable(data)) is not None:
-            yield Layer(text, layer, [0], [(m.start(), m.end(), False)])
+        yield Packed(data, layer, m.span())
+
+
+def _inside(layer: Layer) -> Iterator[Layer | Packed | None]:
+    """What a layer unwraps to."""
+    if "%" in layer.text:
+        yield _replaced(layer, _PERCENT, _percent)
+    if "\\" in layer.text or "&" in layer.text:
+        yield _replaced(layer, _ESCAPE, _escape)
+    yield from _base64_layers(layer)
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -180,31 +287,32 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     spans = list(base)
     taken: dict[str, list[tuple[int, int]]] = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}  # sorted, disjoint
     first = Layer(text)
-    work, seen = [first], {(_digest(text), 0, len(text))}
-    while work:
-        layer = work.pop()
-        if layer is not first:
-            for kind, start, end in plain_spans(layer.text):
-                a, b = layer.back(start, end)
-                own, k = taken[kind], bisect_left(taken[kind], (a, b))
-                if (k == len(own) or own[k][0] >= b) and (k == 0 or own[k - 1][1] <= a):
-                    own.insert(k, (a, b))
-                    spans.append((kind, a, b))
-        inner = list(_base64_layers(layer))
-        if "%" in layer.text:
-            inner.append(_replaced(layer, _PERCENT, _percent))
-        if "\\" in layer.text or "&" in layer.text:
-            inner.append(_replaced(layer, _ESCAPE, _escape))
-        for new in inner:
-            if new is not None and (d := (_digest(new.text), *new.back(0, len(new.text)))) not in seen:
-                seen.add(d)
-                work.append(new)
+    work, seen = [_inside(first)], {(_digest(text), False, 0, len(text))}
+    while work:  # iterators of what is to be done, so that only one block of a large stream is held
+        new = next(work[-1], work)
+        if new is work:
+            work.pop()
+            continue
+        if new is None:
+            continue
+        packed = isinstance(new, Packed)
+        mark = (_digest(new.data), True, *new.layer.back(*new.span)) if packed else (_digest(new.text), False, *new.back(0, len(new.text)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        work.append(_unpacked(new) if packed else _inside(new))
+        for kind, start, end in [] if packed else plain_spans(new.text):
+            a, b = new.back(start, end)
+            own, k = taken[kind], bisect_left(taken[kind], (a, b))
+            if (k == len(own) or own[k][0] >= b) and (k == 0 or own[k - 1][1] <= a):
+                own.insert(k, (a, b))
+                spans.append((kind, a, b))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(spans, key=order)
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _digest(data: str | bytes) -> bytes:
+    return hashlib.blake2b(data if isinstance(data, bytes) else data.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def listed(spans: list[Span]) -> str:

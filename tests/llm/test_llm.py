@@ -1,8 +1,10 @@
 """Every operator against brute force, an exact round trip or held-out accuracy, and on odd tables."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
@@ -541,6 +543,33 @@ def test_every_copy_of_a_wrapped_secret_is_found():
         assert clean.count("[assign]") == len(hidden) and plain not in clean and packed not in clean
 
 
+def hidden_in(data):
+    text = f"see {base64.b64encode(data).decode()} there"
+    base, spans = secrets.scan(text)
+    return base == [] and spans == [("assign", 4, len(text) - 6)]
+
+
+def test_compressed_layers_are_read_to_their_end(monkeypatch):
+    secret, filler = b'password = "hunter2hunter2"', b"nothing to be seen here, " * 40
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        deep = secret
+        for _ in range(9):
+            deep = pack(deep)
+        assert hidden_in(deep)
+        assert hidden_in(pack(filler) + pack(filler) + pack(secret)) and hidden_in(pack(filler + secret[:12]) + pack(secret[12:]))
+        assert not hidden_in(pack(filler) + pack(filler))
+    assert hidden_in(gzip.compress(b" " * (secrets.LARGEST + 10**6) + secret))
+    noise = random.Random(14).randbytes(3000).hex(" ").encode()
+    cut = zlib.compressobj()
+    cut = cut.compress(secret + b" " + noise) + cut.flush(zlib.Z_SYNC_FLUSH) + cut.compress("é".encode()[:1]) + cut.flush(zlib.Z_SYNC_FLUSH)
+    assert hidden_in(cut) and hidden_in(cut[:200] + b"\xff" * 40)
+    monkeypatch.setattr(secrets, "LARGEST", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    monkeypatch.setattr(secrets, "PIECE", 64)
+    for at in range(900, 1100, 7):
+        assert hidden_in(gzip.compress(b" " * at + secret + b" " * 3000)) and hidden_in(gzip.compress(gzip.compress(noise[:at] + b" " + secret + noise)))
+
+
 def test_secrets_odd_tables(spark):
     rows = secrets.find(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
