@@ -1,8 +1,9 @@
 """Secret scans over every layer of a text.
 
 A worklist holds layers.  Each is scanned, then unwrapped: escapes of URLs and of Unicode (percent, \\u, \\x, HTML
-references) are replaced throughout the layer; runs of base64 are decoded and, if they hold one of the known compressed
-formats, inflated.  What comes out is a new layer unless its digest was seen before at the same span of the original text,
+references) are replaced throughout the layer; runs of base64, joined over line breaks, are decoded from each of their
+first four letters, and what they hold of the known compressed formats is inflated.  Of decoded bytes the readable
+stretches are scanned, whatever lies beside them.  What comes out is a new layer unless its digest was seen before at the same span of the original text,
 so that the work ends at a fixpoint even where layers contain each other, and a layer that occurs at several places is
 followed at each of them.  Every layer maps its positions to its parent's; a secret found inside is reported
 as the span of the original text that it came from.
@@ -11,7 +12,8 @@ Nulls, ties, repeats: a null text is an empty one; rows are scanned each for its
 the same start are ordered by kind (assign, access, hex), then end.  Compressed layers are inflated however deep they lie
 in each other, streams right behind one another together; a stream of more than LARGEST bytes (a decompression bomb) is
 scanned in blocks of that size, so that memory is bounded, and each begins with the OVERLAP bytes before it: only what
-is longer than those and crosses a block's border can be lost.  Of a damaged stream, what came before is scanned.
+is longer than those and crosses a block's border can be lost.  A finding inside is left out only if earlier ones of its
+kind cover it.  Of a damaged stream, what came before is scanned.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import lzma
 import re
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -47,7 +49,13 @@ _KEYS = ("passw", "secret", "token", "api")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|lt|gt|equals|colon|sol|lowbar|plus|period);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs of 16 letters at least, or over line breaks; each starts at a letter that no other precedes.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]++[ \t]*+[\r\n])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Findings are of ASCII and have 14 letters at least; these are bytes that may hold one, also as UTF-16.
+_STRETCH = re.compile(rb"[\t-\r\x20-\x7e]{14}")
+_WIDE = [(re.compile(rb"(?:[\t-\r\x20-\x7e]\x00){14,}"), 0), (re.compile(rb"(?:\x00[\t-\r\x20-\x7e]){14,}"), 1)]
+_PRINTED = bytes(c if 9 <= c <= 13 or 32 <= c <= 126 else 0 for c in range(256))
 _HEAD = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 LONGEST_HEAD = 6
 _ZLIB = type(zlib.decompressobj())
@@ -77,13 +85,16 @@ class Layer:
         """The original text's span behind text[start:end]."""
         layer, a, b = self, start, end
         while layer.parent is not None:
-            (s, e, copied), at = layer.origins[k := bisect_right(layer.starts, a) - 1], layer.starts[k]
-            low = s + a - at if copied else s
-            (s, e, copied), at = layer.origins[k := bisect_right(layer.starts, b - 1) - 1], layer.starts[k]
-            high = s + b - at if copied else e
-            layer, a, b = layer.parent, low, high
+            layer, (a, b) = layer.parent, layer.up(a, b)
         return a, b
 
+    def up(self, a: int, b: int) -> tuple[int, int]:
+        """The parent's span behind text[a:b]."""
+        (s, e, copied), at = self.origins[k := bisect_right(self.starts, a) - 1], self.starts[k]
+        low = s + a - at if copied else s
+        (s, e, copied), at = self.origins[k := bisect_right(self.starts, b - 1) - 1], self.starts[k]
+        return low, s + b - at if copied else e
+
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with each match decoded; decode gives (characters, letters of the match for each, 0: all of it)."""
@@ -223,52 +234,70 @@ def _blocks(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 class Packed(NamedTuple):
-    """Bytes that a span of a layer stands for."""
+    """Bytes that stand for a part of a layer; place gives the layer's span behind data[a:b]."""
 
     data: bytes
     layer: Layer
-    span: tuple[int, int]
+    place: Callable[[int, int], tuple[int, int]]
+
+
+class Reading(Layer):
+    """Bytes as a text: its k-th letter is the one at offset + step * k."""
 
+    def __init__(self, text: str, packed: Packed, offset: int, step: int):
+        super().__init__(text, packed.layer)
+        self.place, self.offset, self.step = packed.place, offset, step
 
-def _contents(stream: Inflated, packed: Packed) -> Iterator[Packed]:
+    def up(self, a: int, b: int) -> tuple[int, int]:
+        return self.place(self.offset + self.step * a, self.offset + self.step * b)
+
+
+def _contents(stream: Inflated, layer: Layer, span: tuple[int, int]) -> Iterator[Packed]:
     """All that a stream holds; what is too large for one block is inflated further as it comes, or given in blocks."""
     pieces = iter(stream)
     blocks = _blocks(pieces)
     first = next(blocks, None)
     if first is not None and len(first) >= LARGEST and _HEAD.match(first):
-        yield from _contents(Inflated(chain(_chunks(first), pieces)), packed)
+        yield from _contents(Inflated(chain(_chunks(first), pieces)), layer, span)
     elif first is not None:
         for block in chain([first], blocks):
-            yield packed._replace(data=block)
+            yield Packed(block, layer, lambda a, b: span)
 
 
 def _unpacked(packed: Packed) -> Iterator[Layer | Packed]:
-    """The bytes as a text, and what streams at their start hold."""
-    if (text := _readable(packed.data)) is not None:
-        yield Layer(text, packed.layer, [0], [(*packed.span, False)])
-    if _HEAD.match(packed.data):
-        yield from _contents(Inflated(_chunks(packed.data)), packed)
-
-
-def _readable(data: bytes) -> str | None:
-    text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8", "replace")
-    odd = sum(map(text.count, _CONTROLS))
-    return text if text and not odd else None
-
-
-_CONTROLS = [chr(c) for c in range(32) if c not in (9, 10, 11, 12, 13)]
+    """The readable stretches of the bytes, and what streams anywhere in them hold."""
+    data, layer, place = packed
+    if _STRETCH.search(data):
+        yield Reading(data.translate(_PRINTED).decode("ascii"), packed, 0, 1)
+    if b"\0" in data:
+        for pattern, first in _WIDE:
+            for m in pattern.finditer(data):
+                yield Reading(m.group()[first::2].decode("ascii"), packed, m.start(), 2)
+    at = 0
+    while m := _HEAD.search(data, at):
+        at, ahead = m.start() + 1, Inflated(_chunks(data, m.start()))
+        if any([bool(piece) for piece in ahead]):  # read once for its end, and then for what it holds
+            yield from _contents(Inflated(_chunks(data, m.start())), layer, place(m.start(), m.start() + ahead.end))
+            at = m.start() + ahead.end if ahead.sound else at
 
 
 def _base64_layers(layer: Layer) -> Iterator[Packed]:
+    """Runs decoded from each of their first four letters, as it isn't known where a code begins; places are whole lines."""
     for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except ValueError:
+        if m.end() - m.start() < 16:
             continue
-        yield Packed(data, layer, m.span())
+        lines = [line.span() for line in _LINE.finditer(layer.text, *m.span())]
+        run = "".join([layer.text[a:b] for a, b in lines]).rstrip("=").replace("-", "+").replace("_", "/")
+        starts = list(accumulate((b - a for a, b in lines[:-1]), initial=0))
+        for skip in range(4):
+            code = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+            data = base64.b64decode(code + "=" * (-len(code) % 4))
+            if _STRETCH.search(data) or _HEAD.search(data) or (b"\0" in data and any(p.search(data) for p, _ in _WIDE)):
+
+                def place(a: int, b: int, skip=skip, lines=lines, starts=starts) -> tuple[int, int]:
+                    return lines[bisect_right(starts, skip + 4 * a // 3) - 1][0], lines[bisect_right(starts, skip + (8 * b - 1) // 6) - 1][1]
+
+                yield Packed(data, layer, place)
 
 
 def _inside(layer: Layer) -> Iterator[Layer | Packed | None]:
@@ -296,16 +325,17 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
         if new is None:
             continue
         packed = isinstance(new, Packed)
-        mark = (_digest(new.data), True, *new.layer.back(*new.span)) if packed else (_digest(new.text), False, *new.back(0, len(new.text)))
+        mark = (_digest(new.data), True, *new.layer.back(*new.place(0, len(new.data)))) if packed else (_digest(new.text), False, *new.back(0, len(new.text)))
         if mark in seen:
             continue
         seen.add(mark)
         work.append(_unpacked(new) if packed else _inside(new))
         for kind, start, end in [] if packed else plain_spans(new.text):
             a, b = new.back(start, end)
-            own, k = taken[kind], bisect_left(taken[kind], (a, b))
-            if (k == len(own) or own[k][0] >= b) and (k == 0 or own[k - 1][1] <= a):
-                own.insert(k, (a, b))
+            own, k = taken[kind], bisect_right(taken[kind], a, key=lambda span: span[1])
+            if k == len(own) or a < own[k][0] or own[k][1] < b:
+                end = bisect_left(own, b, key=lambda span: span[0])
+                own[k:end] = [(min(a, own[k][0]), max(b, own[end - 1][1]))] if k < end else [(a, b)]
                 spans.append((kind, a, b))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(spans, key=order)

@@ -8,6 +8,7 @@ import lzma
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter
@@ -570,6 +571,41 @@ def test_compressed_layers_are_read_to_their_end(monkeypatch):
         assert hidden_in(gzip.compress(b" " * at + secret + b" " * 3000)) and hidden_in(gzip.compress(gzip.compress(noise[:at] + b" " + secret + noise)))
 
 
+@pytest.mark.parametrize("width", [76, 64, 61, 10])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+def test_base64_over_lines(width, end):
+    secret = b'password = "hunter2hunter2"'
+    for data in (gzip.compress(random.Random(15).randbytes(150) + secret), b"some words that come before it, " * 3 + secret + b", and more after it" * 8):
+        code = base64.b64encode(data).decode()
+        lines = [code[k : k + width] for k in range(0, len(code), width)]
+        for before in ("see:", "see", "A", "AB", "ABC", "-----BEGIN KEY-----" + end):
+            text = before + end.join(lines) + " end"
+            base, spans = secrets.scan(text)
+            assert base == [] and {kind for kind, _, _ in spans} == {"assign"}
+            clean = secrets.masked(text, spans)
+            assert clean.endswith("end") and secrets.scan(clean)[1] == []
+    text = "\n".join(["bm90aGluZyBoZXJlIGF0IGFsbCwgYnV0IHdvcmRz", base64.b64encode(secret).decode(), "bm90aGluZyBoZXJlIGF0IGFsbCwgYnV0IHdvcmRz"])
+    assert secrets.masked(text, secrets.scan(text)[1]).startswith("bm90aGluZyBoZXJlIGF0IGFsbCwgYnV0IHdvcmRz\n[assign]\nbm90")
+
+
+def test_base64_beside_other_letters_and_bytes():
+    secret = b'password = "hunter2hunter2"'
+    wide = secret.decode().encode
+    for data in (secret, gzip.compress(secret), wide("utf-16-le"), wide("utf-16-be"), wide("utf-16"), b"\1" + secret, b"\xff\xfe\x80" + secret + b"\0\xc3", b"\x89PNG" + zlib.compress(secret) + b"\0"):
+        for before in ("", "x", "x/", "ab_", "path/", "one-two-", "a/b/c/d/e/f/"):
+            text = before + base64.b64encode(data).decode()
+            base, spans = secrets.scan(text)
+            assert base == [] and [s[0] for s in spans] == ["assign"], (data, before)
+            assert secrets.scan(secrets.masked(text, spans))[1] == []
+
+
+def test_long_runs_take_linear_time():
+    for t in ("A" * 10**6, "word\n" * 10**5, "a/" * 10**5 + "\n" + "%41" * 10**5):
+        begun = time.process_time()
+        assert secrets.scan(t) == ([], [])
+        assert time.process_time() - begun < 10
+
+
 def test_secrets_odd_tables(spark):
     rows = secrets.find(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
