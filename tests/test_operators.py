@@ -181,6 +181,16 @@ def test_references_equal_the_theta_join(spark):
     assert rows(references.references(files, names(spark, *targets)), "src", "dst") == expected
 
 
+def test_references_to_names_without_a_word_at_their_end(spark):
+    contents = {"a.md": "see example.org/blog/ and x", "b.md": "see example.org/blog/post and (docs/---)", "c.md": "myexample.org/blog/?q=1, --- too", "d.md": "", "e.md": "a // b"}
+    targets = ["example.org/blog/", "docs/---", "blog/", "//", "", "docs/"]
+    files = spark.createDataFrame(list(contents.items()), "file string, content string")
+    has = lambda c, t: t != "" and re.search(rf"(?<!\w){re.escape(t)}(?!\w)", c) is not None
+    expected = sorted((f, t) for f, c in contents.items() for t in targets if has(c, t) or has(c, t.rsplit("/", 1)[-1]))
+    assert ("a.md", "example.org/blog/") in expected and ("c.md", "docs/---") in expected
+    assert rows(references.references(files, names(spark, *targets)), "src", "dst") == expected
+
+
 def test_compress_plain_equals_the_function(spark):
     rng = random.Random(5)
     texts = ["\n".join(rng.choice(["", "a", "b" * 250, " ", "c d"]) for _ in range(rng.randrange(40))) for _ in range(60)] + [""]
