@@ -443,6 +443,44 @@ def test_expected_counts_equal_all_segmentations():
     assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
 
 
+def test_array_lattices_equal_the_plain_recursion():
+    pieces = lm_scoring.Pieces({k: 1 + k % 7 for k in range(32000)}, 3)
+    rng, lattices = random.Random(16), lm_scoring.Lattices(pieces)
+    words = ["▁" + "".join(rng.choice("theraing☃𝔘é-") for _ in range(rng.choice([1, 3, 9, 45, 199, 200, 700]))) for _ in range(60)] + ["▁" + "𝔘" * 30, "▁" + "𝔘" * 3000]
+    sums = lattices.sums(words)
+    assert sums.tolist() == pytest.approx([pieces.word(w[1:].encode()) for w in words]) and np.isfinite(sums).all()
+    times, together, alone = [1 + k % 3 for k in range(len(words))], Counter(), Counter()
+    lattices.expect(words, together, times)
+    for w, n in zip(words, times, strict=True):
+        for i, x in lattices._expected_alone(w, n):
+            for own in [i] if i >= 0 else [lattices.byte_ids[c] for c in chr(-1 - i).encode()]:
+                alone[own] += x
+    assert set(together) == set(alone) and all(math.isfinite(x) and together[i] == pytest.approx(x) for i, x in alone.items())
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_lm_scores_any_characters(spark, held):
+    """Long words of characters without a piece, learnt from or only scored."""
+    doc = next(k for k in range(10**6, 10**6 + 100) if (zlib.crc32(str(k).encode()) % 7 == 2) == held)
+    table = documents(spark).select("doc_id", "text").union(spark.createDataFrame([(doc, "𝔘" * 30 + " " + "☃𝔘" * 400 + " " + "ab" * 3000)], "doc_id bigint, text string"))
+    rows = {r["doc_id"]: r for r in lm_scoring.score(table).collect()}
+    assert all(math.isfinite(r[n]) and r[n] < 0 for r in rows.values() for n in ("score", "mixed_score", "base_score"))
+    assert rows[doc]["held_out"] == held
+
+
+def test_lm_score_is_the_lattice_alone(spark):
+    """score is the sum of the words' lattices and of the end's, with the pieces that the training documents give."""
+    table = documents(spark).select("doc_id", "text")
+    train = [r["text"] for r in table.where(~lm_scoring.held_out()).collect()]
+    counts = Counter(w for t in train for w in t.encode().lower().split())
+    own = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c bigint")
+    pieces = lm_scoring.Pieces(lm_scoring.piece_counts(own, len(train)), len(train))
+    assert sum(pieces.p.values()) + sum(pieces.bytes) + 10**pieces.end == pytest.approx(1, abs=1e-6)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(table).collect()}
+    for r in table.limit(25).collect():
+        assert got[r["doc_id"]] == pytest.approx(pieces.end + sum(pieces.word(w) for w in r["text"].encode().lower().split()))
+
+
 def test_lm_odd_tables(spark):
     rows = lm_scoring.score(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(math.isfinite(r["score"]) for r in rows)
