@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -170,11 +170,12 @@ class Lattices:
         letters[np.arange(letters.shape[1]) < length[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         return letters, length
 
-    def _forward(self, letters: np.ndarray, length: np.ndarray) -> np.ndarray:
-        f = np.full((letters.shape[1] + 1, len(length)), -np.inf)
+    @staticmethod
+    def _forward(steps: Iterable[Iterable[tuple]], length: np.ndarray) -> np.ndarray:
+        f = np.full((int(length.max()) + 1, len(length)), -np.inf)
         f[0] = 0
-        for i in range(letters.shape[1]):
-            for word, end, _, lp in self._edges(letters, length, i):
+        for i, step in enumerate(steps):
+            for word, end, _, lp in step:
                 f[end, word] = np.logaddexp(f[end, word], f[i, word] + lp)
         return f
 
@@ -187,7 +188,8 @@ class Lattices:
                 out[part] = self.pieces._log_sum(own[0])
             else:
                 letters, length = self._letters(own)
-                out[part] = self._forward(letters, length)[length, np.arange(len(own))]
+                steps = (self._edges(letters, length, i) for i in range(letters.shape[1]))
+                out[part] = self._forward(steps, length)[length, np.arange(len(own))]
         return out / math.log(10)
 
     def expect(self, words: list[str], into: Counter, times: list[float] | None = None) -> None:
@@ -201,12 +203,13 @@ class Lattices:
 
     def _expected(self, words: list[str], weight: np.ndarray) -> Iterator[tuple[int, float]]:
         letters, length = self._letters(words)
-        f, n = self._forward(letters, length), np.arange(len(words))
+        steps = [list(self._edges(letters, length, i)) for i in range(letters.shape[1])]  # of a batch, so bounded
+        f, n = self._forward(steps, length), np.arange(len(words))
         total, b = f[length, n], np.full(f.shape, -np.inf)
         b[length, n] = 0
         pieces, expected = [], []
         for i in range(letters.shape[1] - 1, -1, -1):
-            for word, end, piece, lp in self._edges(letters, length, i):
+            for word, end, piece, lp in steps[i]:
                 ahead = lp + b[end, word]
                 b[i, word] = np.logaddexp(b[i, word], ahead)
                 pieces.append(piece)
