@@ -46,6 +46,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: bytes | None) -> list[bytes]:
     """The words of a text in UTF-8: bytes.split() breaks at the bytes 0x20 and 0x09-0x0D and at no others."""
     return text.split() if text else []

@@ -342,13 +342,75 @@ def test_decontamination_finds_reordered_passages_only(spark):
     halves = item[20:] + some_words(rng, 30, 9000) + item[:20]
     texts = [" ".join(some_words(rng, 50, 9000) + item), " ".join(halves).upper(), " ".join(item[:15]), ", ".join(item), " ".join(some_words(rng, 200, 9000)), "tiny bit here now", None]
     benchmark = spark.createDataFrame([(7, " ".join(item)), (3, " ".join(item)), (8, "tiny bit, here now"), (9, "tiny"), (None, " ".join(item)), (10, None)], "item_id bigint, text string")
-    got = {r["doc_id"]: r for r in decontamination.judge(text_table(spark, texts), benchmark, words=50).collect()}
+    got = {r["doc_id"]: r for r in decontamination.judge(text_table(spark, texts), benchmark).collect()}
     assert [got[k]["contaminated"] for k in range(7)] == [True, True, False, True, False, True, False]
     assert got[0]["item_id"] == 3 and got[1]["n_tiles"] == 2 and got[1]["coverage"] == 1.0 and got[5]["item_id"] == 8
     assert decontamination.decontaminate(odd(spark), benchmark).count() == len(ODD)
     assert decontamination.judge(odd(spark), benchmark.limit(0)).where("contaminated").count() == 0 and decontamination.judge(empty(spark), benchmark).collect() == []
 
 
+def leaks_by_hand(texts, items, covered=0.6, least=5, shortest=4):
+    """(item_id, coverage) of the most covered item, by tiling every text with every item."""
+    out = []
+    numbers = {}
+    coded = lambda t: np.array([numbers.setdefault(w, len(numbers) + 1) for w in decontamination.tokens(t.encode())], np.uint64)
+    for t in texts:
+        found = []
+        for i, item in items:
+            own, doc = coded(item), coded(t or "")
+            if len(own) >= shortest:
+                n = sum(x[2] for x in decontamination.tile(doc, own, min(least, len(own))))
+                if n >= covered * len(own) and (len(own) >= least or n == len(own)):
+                    found.append((-n / len(own), i))
+        out.append((min(found)[1], -min(found)[0]) if found else (None, 0.0))
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, decontamination.FILTER_BITS])
+def test_decontamination_equals_tiling_all_pairs(spark, bits):
+    """Items that share phrases, hold them repeatedly, are equal or are short; with a filter that lets nearly all seeds through as well."""
+    rng = random.Random(18)
+    phrases = [some_words(rng, n, 400) for n in (4, 5, 5, 6, 9, 14)]
+    items = []
+    for k in range(40):
+        own = sum((rng.choice(phrases) for _ in range(rng.randrange(1, 5))), []) + (some_words(rng, rng.randrange(12), 400) if k % 3 else [])
+        items.append((100 - k, " ".join(own)))
+    items += [(200, items[3][1]), (201, "w1 w2"), (202, " ".join(phrases[1] * 8))]
+    texts = []
+    for _ in range(80):
+        own = []
+        for _ in range(rng.randrange(6)):
+            own += rng.choice([rng.choice(phrases), some_words(rng, 7, 400), items[rng.randrange(len(items))][1].split()[rng.randrange(3) :]])
+        texts.append(" ".join(own))
+    texts += [None, "", texts[0], "w1 w2"]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    for shortest in (4, 1):
+        got = {r["doc_id"]: (r["item_id"], r["coverage"]) for r in decontamination.judge(text_table(spark, texts).repartition(4), benchmark, shortest=shortest, filter_bits=bits).collect()}
+        want = leaks_by_hand(texts, items, shortest=shortest)
+        assert [got[k] for k in range(len(texts))] == want and 20 < sum(i is not None for i, _ in want) < len(texts)
+    kept = {r["doc_id"] for r in decontamination.decontaminate(text_table(spark, texts), benchmark, shortest=1, filter_bits=bits).collect()}
+    assert kept == {k for k, (i, _) in enumerate(want) if i is None}
+
+
+def test_rolled_hashes_equal_window_hashes():
+    from sparkloom.llm.common import windows
+
+    h = np.random.default_rng(2).integers(0, 2**64, 300, dtype=np.uint64)
+    for width in (1, 2, 5, 300, 301):
+        assert (decontamination.rolled(h, width) == windows(h, width)).all()
+    big = np.random.default_rng(3).integers(0, 2**64, 20_000, dtype=np.uint64)
+    assert (decontamination.rolled(big, 5) == windows(big, 5)).all()
+
+
+def test_leaks_are_dropped_whatever_the_columns_are_called(spark):
+    item = " ".join(some_words(random.Random(19), 30, 9000))
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    table = spark.createDataFrame([(k, t, 1, 2, 3, 4, True, "s", "w") for k, t in enumerate([item, "clean", None, None])], "doc_id bigint, text string, n_words int, key int, item_id int, coverage int, contaminated boolean, seeds string, words string")
+    kept = decontamination.decontaminate(table, benchmark)
+    assert kept.dtypes == table.dtypes and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
+    assert decontamination.judge(table, benchmark).where("contaminated").count() == 1
+
+
 # ---- archives
 
 
