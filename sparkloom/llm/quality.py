@@ -6,7 +6,8 @@ lines decides: a document with a share below CONTENT goes, as does one that fail
 
 The field is fitted by gradient ascent on its exact log-likelihood (forward-backward) from a bounded sample of labelled
 documents (``sample``, those with the smallest hash of doc_id): the lines of documents of quality 1 are content, those of
-quality 0 boilerplate; documents of few lines count as much as long ones, up to LINES lines of each are learnt from.
+quality 0 boilerplate.  Every line of a sampled text is learnt from, in chains of LINES neighbouring lines, and documents
+of few lines count as much as long ones.
 
 Nulls, ties, repeats: a null text has no words and fails the base rules; labels with nulls are left out, of several
 labels of a document the smallest counts; ties in decoding go to content; without labels of both kinds every line is
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import Memo, Out, hashes, rows_of, windows, word_hash
 
-#: Labelled documents learnt from, and lines of each, at most.
+#: Labelled documents learnt from, at most.
 SAMPLE = 3000
+#: Lines of a chain in training; what follows goes on in the next.
 LINES = 64
 #: Share of words in content lines that a kept document has at least.
 CONTENT = 0.5
@@ -141,8 +143,13 @@ class Field:
         return float(sizes[self.decode(x) == 1].sum() / sizes.sum()) if len(sizes) else 0.0
 
 
-def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Full-batch AdaGrad; chains of like length are run through forward-backward together."""
+def fit(chains: list[np.ndarray], labels: list[int], *, begins: list[bool] | None = None, of: list[int] | None = None, steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Field:
+    """Full-batch AdaGrad; chains of like length are run through forward-backward together.
+
+    A chain may be a part of a longer one: ``begins`` says which are the first part, ``of`` how many lines the whole has.
+    """
+    begins = np.ones(len(chains), bool) if begins is None else np.array(begins, bool)
+    of = np.array([len(x) for x in chains] if of is None else of)
     if len(set(labels)) < 2:
         return Field(np.zeros(FEATURES), np.zeros((2, 2)), np.array([-1.0, 1.0]))
     order = sorted((k for k in range(len(chains)) if len(chains[k])), key=lambda k: len(chains[k]))
@@ -153,19 +160,20 @@ def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 150, rate:
         x, mask = np.zeros((len(own), longest, FEATURES)), np.zeros((len(own), longest), bool)
         for r, k in enumerate(own):
             x[r, : len(chains[k])], mask[r, : len(chains[k])] = chains[k], True
-        batches.append((x, mask, np.array([labels[k] for k in own])))
-    share = np.mean(labels)
+        batches.append((x, mask, np.array([labels[k] for k in own]), begins[own].astype(float), of[own]))
+    whole = np.array([len(x) for x in chains]) / np.maximum(of, 1)
+    n, share = whole.sum(), np.average(labels, weights=whole)
     weight = np.array([0.5 / (1 - share), 0.5 / share])  # both kinds count the same
     w, moves, first = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
     squares = [np.full_like(v, 1e-6) for v in (w, moves, first)]
     for _ in range(steps):
         grads = [-decay * w, -decay * moves, -decay * first]
-        for x, mask, y in batches:
+        for x, mask, y, begin, lines in batches:
             rows, longest, _ = x.shape
-            each = weight[y] / (mask.sum(1) * len(order))
+            each = weight[y] / (lines * n)
             emit = np.stack([np.zeros((rows, longest)), x @ w], -1)
             f, b = np.zeros((rows, longest, 2)), np.zeros((rows, longest, 2))
-            f[:, 0] = first + emit[:, 0]
+            f[:, 0] = begin[:, None] * first + emit[:, 0]
             for t in range(1, longest):
                 f[:, t] = np.logaddexp(f[:, t - 1, :1] + moves[0], f[:, t - 1, 1:] + moves[1]) + emit[:, t]
             last = mask.sum(1) - 1
@@ -176,7 +184,7 @@ def fit(chains: list[np.ndarray], labels: list[int], *, steps: int = 150, rate:
             p = np.exp(f + b - z[:, None, None]) * mask[..., None]
             truth = np.stack([y == 0, y == 1], -1)[:, None, :] * mask[..., None]
             grads[0] += np.einsum("rtf,rt,r->f", x, truth[..., 1] - p[..., 1], each)
-            grads[2] += ((truth - p)[:, 0] * each[:, None]).sum(0)
+            grads[2] += ((truth - p)[:, 0] * (each * begin)[:, None]).sum(0)
             if longest > 1:
                 pair = np.exp(f[:, :-1, :, None] + moves + (emit + b)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
                 real = np.zeros_like(pair)
@@ -193,20 +201,21 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lines: in
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.binary())]))
+        out = Out(pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("at", pa.int64()), ("of", pa.int64()), ("x", pa.binary())]))
         for doc_id, quality, text in rows_of(batches, "doc_id", "quality", "text"):
             x = line_features(text)[0].astype(np.float32)
-            if len(x) > lines:
-                x = x[np.linspace(0, len(x) - 1, lines).astype(int)]
-            out.add(doc_id, quality, x.tobytes(), size=x.nbytes)
-            if out.full():
-                yield out.take()
+            for at in range(0, len(x), lines):
+                part = x[at : at + lines]
+                out.add(doc_id, quality, at, len(x), part.tobytes(), size=part.nbytes)
+                if out.full():
+                    yield out.take()
         yield out.take()
 
     # the sample is bounded, so it may be sent to every executor
     picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("doc_id").cast("long"), "quality", "text")
-    got = sorted(picked.mapInArrow(run, "doc_id bigint, quality int, x binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["x"]))
-    return fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float) for r in got], [int(r["quality"] > 0) for r in got])
+    got = sorted(picked.mapInArrow(run, "doc_id bigint, quality int, at bigint, of bigint, x binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["at"], r["of"], r["x"]))
+    chains = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float) for r in got]
+    return fit(chains, [int(r["quality"] > 0) for r in got], begins=[r["at"] == 0 for r in got], of=[r["of"] for r in got])
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: float = CONTENT) -> DataFrame:
