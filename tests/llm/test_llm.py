@@ -153,6 +153,43 @@ def test_viterbi_equals_brute_force():
         assert tuple(field.decode(x)) == max(product((0, 1), repeat=n), key=score)
 
 
+def test_chains_in_parts_cover_every_line(spark):
+    """A chain cut into parts gives the gradient of the whole but for the moves across the cuts."""
+    rng = np.random.default_rng(23)
+    chains = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 5, 9, 12)]
+    whole = quality.fit(chains, [0, 1, 1, 0], steps=40)
+    same = quality.fit(chains, [0, 1, 1, 0], begins=[True] * 4, of=[1, 5, 9, 12], steps=40)
+    assert (whole.weights == same.weights).all() and (whole.moves == same.moves).all() and (whole.first == same.first).all()
+    parts, labels, begins, of = [], [], [], []
+    for x, y in zip(chains, [0, 1, 1, 0], strict=True):
+        for at in range(0, len(x), 4):
+            parts.append(x[at : at + 4])
+            labels.append(y)
+            begins.append(at == 0)
+            of.append(len(x))
+    near = quality.fit(parts, labels, begins=begins, of=of, steps=40)
+    assert all((near.decode(x) == whole.decode(x)).mean() > 0.85 for x in chains)
+
+
+def test_mixed_pages_have_shares_between(spark):
+    """Pages of content lines with boilerplate among them: labelled line by line, kept by the share of content words."""
+    sf = SF.replace("0.001", "0.01")
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    base = {r["doc_id"]: r for r in quality.judge(table, labels).collect()}
+    rows = {q: [r["text"] for r in table.join(labels.where(f"quality = {q}"), "doc_id").orderBy("doc_id").select("doc_id", "text").collect() if not base[r["doc_id"]]["base_failed"]][:12] for q in (0, 1)}
+    field = quality.train(table, labels)
+    good, bad = ("\n".join(t for t in rows[q] if field.content_share(t.encode()) == q) for q in (1, 0))
+    n_good, n_bad = len(good.split()), len(bad.split())
+    assert n_good > 100 and n_bad > 100
+    for times in (1, 3, 10):
+        share = field.content_share("\n".join([bad] * times + [good]).encode())
+        assert share == pytest.approx(n_good / (n_good + times * n_bad), abs=0.1) and 0 < share < 1
+    mixed = text_table(spark, ["\n".join([bad, good]), good])
+    for least in (0.0, 0.9999):
+        got = quality.judge(mixed.union(table.select("doc_id", "text").where("doc_id > 1")), labels.where("doc_id > 1"), least=least).where("doc_id < 2").collect()
+        assert all(r["kept"] == (not r["base_failed"] and r["content_share"] >= least) for r in got)
+
+
 def test_quality_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -733,6 +770,77 @@ def test_factorization_machine_learns_pairs():
     assert machine.score(rows[3]) == pytest.approx(1 / (1 + math.exp(-(machine.bias + machine.linear[row].sum() + pairs))))
 
 
+def test_factorization_machine_learns_what_no_linear_weights_can():
+    """Toxic is one of two words without the other: w_a > t, w_b > t, 0 <= t and w_a + w_b <= t contradict each other."""
+    rng, memo = random.Random(20), toxicity.Memo(toxicity._bucket)
+    fillers = ["".join(rng.choice("bcdfghklmn") for _ in range(5)) for _ in range(200)]
+    texts = [" ".join(rng.sample(fillers, 12) + ["fool"] * (k % 2) + ["group"] * (k // 2 % 2)) for k in range(800)]
+    labels = np.array([float(("fool" in t) != ("group" in t)) for t in texts])
+    rows = [toxicity.terms(t.encode(), memo) for t in texts]
+    both = {toxicity._bucket(b"fool"), toxicity._bucket(b"group")}
+    assert not both & set(toxicity.related(rows, labels)) and set(toxicity.paired(rows, labels, np.full(len(labels), 0.5), np.empty(0, np.int64))) == both
+    machine = toxicity.fit(rows[:600], labels[:600])
+    assert ((np.array([machine.score(r) for r in rows[600:]]) >= 0.5) == labels[600:]).all()
+    linear = toxicity._learn(rows[:600], labels[:600], np.array(sorted(both)), 0, 50, 0.1, 0.0, 7)
+    assert np.mean((np.array([linear.score(r) for r in rows[600:]]) >= 0.5) == labels[600:]) < 0.8
+
+
+def test_pair_tests_equal_brute_force():
+    rng = np.random.default_rng(21)
+    rows = [np.unique(rng.choice(14, rng.integers(0, 9))).astype(np.int32) for _ in range(300)]
+    p = rng.uniform(0.02, 0.6, 300)
+    labels = np.array([float((4 in r and 9 in r) or rng.random() < q) for r, q in zip(rows, p, strict=True)])
+    want = set()
+    for a in range(14):
+        for b in range(a):
+            own = [k for k, r in enumerate(rows) if a in r and b in r]
+            up, seen, model = sum(labels[k] - p[k] for k in own) ** 2, sum((labels[k] - p[k]) ** 2 for k in own), sum(p[k] * (1 - p[k]) for k in own)
+            counts = [sum(x in r for r in rows) for x in (a, b)]
+            if min(counts) >= 12 and up >= 12 * max(seen, model):
+                want |= {a, b}
+    assert set(toxicity.paired(rows, labels, p, np.empty(0, np.int64), least=12)) == want and {4, 9} <= want
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(22)
+    rows = [np.unique(rng.choice(9, rng.integers(0, 7))) for _ in range(40)] + [np.empty(0, np.int64)]
+    labels, bias, linear, vectors = rng.integers(0, 2, 41).astype(float), 0.3, rng.normal(size=9), rng.normal(size=(9, 3))
+    [batch] = toxicity._batches(rows, rng)
+
+    def loss(b, w, v):
+        out = 0
+        for r, y in zip(rows, labels, strict=True):
+            z = b + sum(w[i] for i in r) + sum(v[i] @ v[j] for k, i in enumerate(r) for j in r[:k])
+            out += math.log1p(math.exp(-z if y else z)) / len(rows)
+        return out
+
+    got, step = toxicity._gradients(batch, labels, bias, linear, vectors), 1e-6
+    assert got[0] == pytest.approx((loss(bias + step, linear, vectors) - loss(bias - step, linear, vectors)) / 2 / step, abs=1e-6)
+    for k, i in enumerate(batch[5]):
+        up = np.eye(9)[i] * step
+        assert got[1][k] == pytest.approx((loss(bias, linear + up, vectors) - loss(bias, linear - up, vectors)) / 2 / step, abs=1e-6)
+        for f in range(3):
+            up = np.outer(np.eye(9)[i], np.eye(3)[f]) * step
+            assert got[2][k, f] == pytest.approx((loss(bias, linear, vectors + up) - loss(bias, linear, vectors - up)) / 2 / step, abs=1e-6)
+
+
+def test_toxicity_equals_scoring_by_hand(spark):
+    """The query's scores from the trained machine's formula, and clean() on a table with clashing names."""
+    table, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    machine = toxicity.train(table, labels)
+    known = [i for i in range(toxicity.BUCKETS) if machine.slot[i] < len(machine.linear) - 1] if len(machine.linear) > 1 else []
+    want = {}
+    for r in table.select("doc_id", "text").collect():
+        own = [machine.slot[b] for b in {zlib.crc32(w) % toxicity.BUCKETS for w in re.findall(rb"[a-z\x80-\xff]+", r["text"].encode().lower())} & set(known)]
+        z = machine.bias + sum(machine.linear[a] for a in own) + sum(machine.factors[a] @ machine.factors[b] for k, a in enumerate(own) for b in own[:k])
+        want[r["doc_id"]] = 1 / (1 + math.exp(-z))
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.classify(table, labels).collect()}
+    assert all(got[i][0] == pytest.approx(x) and got[i][1] == (got[i][0] >= 0.5) for i, x in want.items())
+    renamed = table.withColumnsRenamed({"source": "score", "lang": "toxic", "n_chars": "predicted"})
+    kept = toxicity.clean(renamed, machine)
+    assert kept.dtypes == renamed.dtypes and {r["doc_id"] for r in kept.collect()} == {i for i, (_, y) in got.items() if not y}
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -774,7 +882,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     table = documents(spark)
     scores = {r["doc_id"]: r["predicted"] for r in queries.QUERIES["op10_toxicity"](spark, SF).collect()}
     texts = {r["doc_id"]: r["text"] for r in table.select("doc_id", "text").collect() if not scores[r["doc_id"]]}
-    texts = {i: texts[i] for i, (_, c) in exact_components(texts).items() if i == c}
+    texts = {i: texts[i] for i, (_, c) in exact_components(texts, 80).items() if i == c}
     items = [decontamination.tokens(r["text"].encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaks = lambda t: any(b" ".join(i) in b" ".join(decontamination.tokens(t.encode())) for i in items)
     texts = {i: secrets.masked(t, secrets.scan(t)[1]) for i, t in texts.items() if not leaks(t)}
@@ -787,6 +895,21 @@ def test_pipeline_equals_its_stages_by_hand(spark):
         assert r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * (r["start"] + r["length"])])
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """The operators' own column names as names of the table's."""
+    import corpus_pipeline
+
+    names = ["score", "n_words", "contaminated", "key", "item_id", "toxic", "spans", "kept", "component_id", "n_shingles", "held_out", "row", "packed", "seeds", "words", "coverage"]
+    from pyspark.sql import functions as F
+
+    table = documents(spark).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).where("doc_id < 120")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, table, SF)
+        assert made.dtypes == table.dtypes, name
+        assert 0 < made.where(" and ".join(f"{n} = concat('{n}', doc_id)" for n in names)).count() == made.count(), name
+    assert {"doc_id", "piece", "sequence_id"} <= set(corpus_pipeline.STAGES[-1][1](spark, table, SF).limit(3).collect()[0].asDict())
+
+
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline
 
