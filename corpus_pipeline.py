@@ -14,17 +14,20 @@ from sparkloom.llm.common import cut, table
 
 #: A document goes if its score reaches this.
 TOXIC = 0.5
+#: Near-duplicates share so many percent of their five-word shingles; bands for which a pair at 80 is missed with 9e-7.
+SIMILAR = 80
+BANDS = 35
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier, learnt from labels, rejects."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine, keep=docs.columns).where(F.col("score") < TOXIC).drop("score")
+    return toxicity.clean(docs, machine, TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dedup.deduplicate(docs)
+    return near_dedup.deduplicate(docs, percent=SIMILAR, bands=BANDS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
