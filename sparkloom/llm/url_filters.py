@@ -2,9 +2,11 @@
 
 A fixed rule (host, path) fits its host and the host's subdomains if the url's path starts with the rule's; the longest
 fitting one decides.  The urls that it labels are transactions of FP-growth: their scheme, host labels and path segments,
-and the verdict.  Sets of one or two tokens that imply a verdict with CONFIDENCE become rules; a pair goes if one of its
-tokens alone implies the same verdict at least as surely.  An inverted index from each rule's rarest token finds the rules
-of the other urls; the surest one decides, and a url without any is allowed.
+and the verdict.  Tokens that occur in exactly the same urls are one item there, so that a common url of many segments has
+no sets of its own segments to enumerate.  Sets of one or two tokens that imply a verdict with CONFIDENCE become rules
+(larger sets don't, MOST); a pair goes if one of its tokens alone implies the same verdict at least as surely, as of two
+tokens of one item each does.  An inverted index from each rule's token that the fewest urls hold finds the rules of the
+other urls; the surest one decides, and a url without any is allowed.
 
 DataFrame functions only.  Distinct urls are judged once and joined back with the pages, so a common url is one row.
 
@@ -16,6 +18,8 @@ are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Share of the labelled urls that hold the tokens of a rule.
 SUPPORT = 0.002
 CONFIDENCE = 0.8
+#: Tokens of a rule, at most.
+MOST = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^(.*?)://([^/?#]*)([^?#]*)"
@@ -58,9 +64,15 @@ def fixed(host: Column, path: Column, rules=RULES) -> Column:
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (items, verdict, hits, seen) from labelled (items, verdict); hits of seen urls with the items have the verdict."""
-    marked = labelled.select(F.concat("items", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
+    urls = cut(labelled.groupBy("items", "verdict").agg(F.count("*").alias("k")), "labelled")
+    least = math.ceil(support * (urls.agg(F.sum("k")).first()[0] or 0))
+    held = urls.select("items", "verdict", "k", F.explode("items").alias("token"), F.xxhash64("items", "verdict").cast("decimal(20,0)").alias("h"))
+    often = held.groupBy("token").agg(F.sum("k").alias("seen"), F.count("*").alias("urls"), F.sum("h").alias("where")).where(F.col("seen") >= least)
+    same = cut(often.groupBy("urls", "where").agg(F.min("token").alias("item"), F.collect_set("token").alias("tokens")).select("item", "tokens"), "same")
+    merged = held.join(same.select("item", F.explode("tokens").alias("token")), "token").groupBy("items", "verdict").agg(F.collect_set("item").alias("own"))
+    marked = labelled.join(merged, ["items", "verdict"], "left").select(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=support).fit(marked).freqItemsets
-    split = sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("v:"))).alias("items"), F.filter("items", lambda x: x.startswith("v:")).alias("v"), "freq").where(F.size("items").between(1, 2))
+    split = sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("v:"))).alias("items"), F.filter("items", lambda x: x.startswith("v:")).alias("v"), "freq").where(F.size("items").between(1, MOST))
     split = cut(split, "itemsets")
     hits = split.where(F.size("v") == 1).select("items", F.substring(F.col("v")[0], 3, 99).alias("verdict"), F.col("freq").alias("hits"))
     seen = split.where(F.size("v") == 0).select("items", F.col("freq").alias("seen"))
@@ -68,7 +80,18 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     alone = sure.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "verdict", (F.col("hits") / F.col("seen")).alias("alone"))
     pairs = sure.where(F.size("items") == 2)
     weaker = pairs.select("items", "verdict", (F.col("hits") / F.col("seen")).alias("c"), F.explode("items").alias("token")).join(alone, ["token", "verdict"]).where("alone >= c").select("items", "verdict").distinct()
-    return sure.where(F.size("items") == 1).unionByName(pairs.join(weaker, ["items", "verdict"], "left_anti"))
+    rules = sure.where(F.size("items") == 1).unionByName(pairs.join(weaker, ["items", "verdict"], "left_anti"))
+    of = lambda place: same.select(F.col("item").alias(f"i{place}"), F.explode("tokens").alias(f"t{place}"))
+    apart = rules.select(F.col("items")[0].alias("i0"), F.try_element_at("items", F.lit(2)).alias("i1"), "verdict", "hits", "seen").join(of(0), "i0").join(of(1), "i1", "left")
+    return apart.select(F.array_sort(F.filter(F.array("t0", "t1"), lambda x: x.isNotNull())).alias("items"), "verdict", "hits", "seen")
+
+
+def index_of(mined: DataFrame, urls: DataFrame) -> DataFrame:
+    """mined with token, the one of a rule's that the fewest of urls (items) hold; without rules that no url can fit."""
+    keyed = mined.select("*", F.explode("items").alias("token"))
+    held = urls.select(F.explode("items").alias("token")).join(keyed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    index = keyed.join(held, "token").groupBy("items", "verdict", "hits", "seen").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.count("*").alias("found"))
+    return index.where(F.col("found") == F.size("items")).drop("found")
 
 
 def judge(pages: DataFrame, *, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -80,12 +103,8 @@ def judge(pages: DataFrame, *, rules=RULES, support: float = SUPPORT, confidence
         return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("mined"))
     mined = cut(mine(labelled, support, confidence), "rules")
 
-    # the rarest token of a rule is its key in the index
-    rarity = mined.where(F.size("items") == 1).groupBy(F.col("items")[0].alias("token")).agg(F.max("seen").alias("n"))
-    keyed = mined.select("*", F.explode("items").alias("token")).join(rarity, "token", "left")
-    index = keyed.groupBy("items", "verdict", "hits", "seen").agg(F.min_by("token", F.struct(F.coalesce("n", "seen"), "token")).alias("token"))
-
-    urls = with_items.where("fixed is null").select("url", "items").distinct()
+    urls = cut(with_items.where("fixed is null").select("url", "items").distinct(), "urls")
+    index = index_of(mined, urls)
     met = urls.select("url", F.col("items").alias("have"), F.explode("items").alias("token")).join(index, "token").where(F.forall("items", lambda x: F.array_contains("have", x)))
     best = F.struct((-F.col("hits") / F.col("seen")).alias("c"), (-F.col("seen")).alias("n"), F.size("items").alias("k"), "verdict", F.array_join("items", " ").alias("items"))
     decided = met.groupBy("url").agg(F.min(best).alias("best")).select("url", F.col("best.verdict").alias("own"), F.col("best.items").alias("mined"))

@@ -333,6 +333,37 @@ def test_urls_equal_brute_force(spark):
     assert [got[k] for k in range(len(urls))] == url_brute(urls)
 
 
+def test_urls_of_many_segments(spark):
+    """All sets of the segments of one common url would be 2**40; rules are the same as by counting."""
+    long = "https://a.net/" + "/".join(f"s{k}" for k in range(40))
+    urls = [long] * 30 + [f"https://b.com/s{k}/x" for k in range(40)] + [f"http://c.org/fr/s{k}" for k in range(0, 40, 3)] + [long.replace("a.net", "d.com")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["mined"]) for r in url_filters.judge(pages, support=0.002).collect()}
+    assert [got[k] for k in range(len(urls))] == url_brute(urls, 0.002)
+
+
+def test_index_keys_are_the_rarest_tokens(spark):
+    rng = random.Random(24)
+    tokens = [f"t{k}" for k in range(12)]
+    urls = [sorted(set(rng.choices(tokens[:11], weights=range(1, 12), k=5))) for _ in range(200)]
+    rules = [sorted(rng.sample(tokens, 2)) for _ in range(30)] + [[t] for t in tokens]
+    mined = spark.createDataFrame([(r, "block", 1, 1) for r in {tuple(r) for r in rules}], "items array<string>, verdict string, hits bigint, seen bigint")
+    index = url_filters.index_of(mined, spark.createDataFrame([(u,) for u in urls], "items array<string>")).collect()
+    held = Counter(t for u in urls for t in u)
+    assert {tuple(r["items"]): r["token"] for r in index} == {tuple(r): min(r, key=lambda t: (held[t], t)) for r in rules if all(held[t] for t in r)}
+
+
+def test_tables_are_released(spark):
+    from sparkloom.llm import common
+
+    common.cut(spark.range(3), "some")
+    path = common._written[-1]
+    assert common.release(spark) > 0 and common.release(spark) == 0
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_urls_odd_tables(spark):
     pages = spark.createDataFrame([(None, None), (1, "x"), (1, "x")], "page_id bigint, url string")
     assert Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge(pages).collect()) == Counter({(None, "", "", None, "allow"): 1, (1, "", "", None, "allow"): 2})
