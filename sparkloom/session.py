@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,6 +23,25 @@ def session(master: str | None = None, *, name: str = "sparkloom", partitions: i
     return spark
 
 
+_own_shared: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local master (tests) gets a folder of its own; on a cluster, where executors couldn't see that,
+    the setting is asked for.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own_shared:
+        _own_shared.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
+    return _own_shared[0]
+
+
 _shipped: set[str] = set()
 
 
