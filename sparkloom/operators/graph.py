@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import shared_dir
 
 
 class CycleError(ValueError):
@@ -22,6 +23,16 @@ def stems(files: DataFrame) -> DataFrame:
     return files.groupBy(text.stem(F.col("file")).alias("stem")).agg(F.max_by("file", order).alias("file"))
 
 
+def resolved(files: DataFrame) -> DataFrame:
+    """(src, pos, dep, target): every dependency of files (file, dependencies[, ord]) with the file that it stands for, or null."""
+    index = stems(files)
+    name = index.select(F.col("file").alias("dep"), F.col("file").alias("by_name"))
+    stem = lambda key, to: index.select(F.col("stem").alias(key), F.col("file").alias(to))
+    deps = files.select(F.col("file").alias("src"), F.posexplode("dependencies").alias("pos", "dep")).withColumn("tail", F.element_at(F.split("dep", r"\."), -1))
+    found = deps.join(name, "dep", "left").join(stem("dep", "by_stem"), "dep", "left").join(stem("tail", "by_tail"), "tail", "left")
+    return found.select("src", "pos", "dep", F.coalesce("by_name", "by_stem", "by_tail").alias("target"))
+
+
 def build(files: DataFrame) -> DataFrame:
     """Edges from files (file, dependencies[, ord]).
 
@@ -29,14 +40,9 @@ def build(files: DataFrame) -> DataFrame:
     dot.  What is found elsewhere is internal; the rest, and a file's own name, is external as written.  Repeats keep
     their first place.
     """
-    index = stems(files)
-    name = index.select(F.col("file").alias("dep"), F.col("file").alias("by_name"))
-    stem = lambda key, to: index.select(F.col("stem").alias(key), F.col("file").alias(to))
-    deps = files.select(F.col("file").alias("src"), F.posexplode("dependencies").alias("pos", "dep")).withColumn("tail", F.element_at(F.split("dep", r"\."), -1))
-    found = deps.join(name, "dep", "left").join(stem("dep", "by_stem"), "dep", "left").join(stem("tail", "by_tail"), "tail", "left")
-    target = F.coalesce("by_name", "by_stem", "by_tail")
-    internal = target.isNotNull() & (target != F.col("src"))
-    edges = found.select("src", F.when(internal, target).otherwise(F.col("dep")).alias("dst"), F.when(internal, "internal").otherwise("external").alias("kind"), "pos")
+    found = resolved(files)
+    internal = F.col("target").isNotNull() & (F.col("target") != F.col("src"))
+    edges = found.select("src", F.when(internal, F.col("target")).otherwise(F.col("dep")).alias("dst"), F.when(internal, "internal").otherwise("external").alias("kind"), "pos")
     return edges.groupBy("src", "dst", "kind").agg(F.min("pos").alias("ord"))
 
 
@@ -59,17 +65,19 @@ def dependents(edges: DataFrame, file: str) -> DataFrame:
     return internal(edges).where(F.col("dst") == file).select(F.col("src").alias("file")).distinct()
 
 
+def _checkpoints(df: DataFrame) -> None:
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
+
+
 def closure(edges: DataFrame, seeds: DataFrame, *, every: int = 4) -> DataFrame:
     """(seed, node): what each seed reaches along (src, dst) in one step or more; itself only through a cycle.
 
     Rounds extend the newest nodes by one step.  Edges and nodes stay in tables; a round ends in a checkpoint, so the plan
     stays short and survives lost executors.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
+    _checkpoints(edges)
     step = edges.select("src", "dst").distinct().checkpoint()
     newest = seeds.select("seed", F.col("seed").alias("src")).join(step, "src").select("seed", F.col("dst").alias("node")).distinct().checkpoint()
     seen = newest
@@ -94,12 +102,30 @@ def blast_radii(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return closure(internal(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
 
 
-def reaches(edges: DataFrame, start: str, goal: str) -> bool:
-    """Whether goal can be reached from start; every file reaches itself."""
+def reaches(edges: DataFrame, start: str, goal: str, *, every: int = 4) -> bool:
+    """Whether goal can be reached from start; every file reaches itself.
+
+    The search goes from both ends, always on from the side with fewer new files, until the sides meet or one has no more.
+    """
     if start == goal:
         return True
-    seeds = edges.sparkSession.createDataFrame([(start,)], "seed string")
-    return not closure(internal(edges), seeds).where(F.col("node") == goal).isEmpty()
+    _checkpoints(edges)
+    step = internal(edges).select("src", "dst").checkpoint()
+    newest = [edges.sparkSession.createDataFrame([(x,)], "node string") for x in (start, goal)]
+    seen, sizes, rounds = list(newest), [1, 1], 0
+    while True:
+        side = int(sizes[1] < sizes[0])
+        here, there = ("src", "dst")[:: 1 - 2 * side]
+        ahead = step.join(newest[side].withColumnRenamed("node", here), here).select(F.col(there).alias("node")).distinct()
+        ahead = ahead.join(seen[side], "node", "left_anti").checkpoint()
+        sizes[side] = ahead.count()
+        if not sizes[side]:
+            return False
+        if not ahead.join(seen[1 - side], "node", "left_semi").isEmpty():
+            return True
+        newest[side], seen[side], rounds = ahead, seen[side].union(ahead), rounds + 1
+        if rounds % every == 0:
+            seen = [x.checkpoint() for x in seen]
 
 
 # ---- edits: each gives a new edge table
@@ -142,6 +168,49 @@ def move(edges: DataFrame, files: DataFrame, file: str, parent: str) -> DataFram
     return rest.unionByName(last.select(F.lit(parent).alias("src"), F.lit(file).alias("dst"), F.lit("internal").alias("kind"), "ord").select(*edges.columns))
 
 
+# ---- the same edits of dependencies as written, before edges are built: each gives new files (file, dependencies, ...)
+
+
+def _without(files: DataFrame, target: str, src: str | None = None) -> DataFrame:
+    """Without the dependencies that stand for target, of one file or of all."""
+    gone = (F.col("target") == target) & (F.lit(True) if src is None else F.col("src") == src)
+    rest = resolved(files).where(~F.coalesce(gone, F.lit(False))).groupBy(F.col("src").alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dep"))), lambda x: x["dep"]).alias("_rest"))
+    kept = F.coalesce("_rest", F.array().cast("array<string>")).alias("dependencies")
+    return files.join(rest, "file", "left").select(*(kept if c == "dependencies" else c for c in files.columns))
+
+
+def _appended(files: DataFrame, src: str, dst: str) -> DataFrame:
+    own = F.coalesce("dependencies", F.array().cast("array<string>"))
+    return files.withColumn("dependencies", F.when(F.col("file") == src, F.array_append(own, F.lit(dst))).otherwise(F.col("dependencies")))
+
+
+def link_written(files: DataFrame, src: str, dst: str) -> DataFrame:
+    """With dst among src's dependencies, at the end, unless one of them stands for it already."""
+    _known(files, src, dst)
+    if src == dst:
+        raise ValueError("a file can't depend on itself")
+    if reaches(build(files), dst, src):
+        raise CycleError(src, dst)
+    there = resolved(files).where((F.col("src") == src) & (F.col("target") == dst))
+    return _appended(files, src, dst) if there.isEmpty() else files
+
+
+def unlink_written(files: DataFrame, src: str, dst: str) -> DataFrame:
+    """Without src's dependencies that stand for dst."""
+    _known(files, src)
+    return _without(files, dst, src)
+
+
+def move_written(files: DataFrame, file: str, parent: str) -> DataFrame:
+    """With file among the dependencies of parent, at the end, and of no other file."""
+    _known(files, file, parent)
+    if file == parent:
+        raise ValueError("a file can't be its own parent")
+    if reaches(build(files), file, parent):
+        raise CycleError(parent, file)
+    return _appended(_without(files, file), parent, file)
+
+
 # ---- views
 
 

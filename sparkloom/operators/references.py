@@ -8,29 +8,37 @@ from pyspark.sql import functions as F
 from ..functions import code, text
 
 
+def mentioned(files: DataFrame, parts: DataFrame) -> DataFrame:
+    """(src, part): src's text holds a part with no letter, digit or underscore next to it.
+
+    Texts and parts meet on words, by a hash join: a part's key is its longest run of word characters, which a mention must
+    hold as a whole run.  Where the part is one word the meeting is the mention; only the other pairs are verified by a
+    pattern.  The few parts without a word to meet on are compared with every text.
+    """
+    word = r"[\p{L}\p{N}_]+"
+    runs = F.array_sort(F.regexp_extract_all("part", F.lit(word), F.lit(0)), lambda a, b: F.length(b) - F.length(a))
+    keyed = parts.select("part", F.try_element_at(runs, F.lit(1)).alias("key")).withColumn("sure", F.col("key") == F.col("part"))
+    texts = files.where(~text.extension(F.col("file")).isin(list(code.LANGUAGES)) & F.col("content").isNotNull()).select(F.col("file").alias("src"), "content")
+    tokens = texts.select("src", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))).alias("key"))
+    met = tokens.join(keyed.where("key is not null"), "key").select("src", "part", "sure")
+    verified = F.contains("content", F.col("part")) & text.mentions(F.col("content"), F.col("part"))
+    checked = met.where("not sure").join(texts, "src").where(verified)
+    wordless = texts.join(keyed.where("key is null").select("part"), verified)
+    return met.where("sure").select("src", "part").union(checked.select("src", "part")).union(wordless.select("src", "part"))
+
+
 def references(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(src, dst): src's text names dst by its path or its file name, with no letter, digit or underscore next to it.
 
-    Texts and file names meet on the words of the names' base names, by a hash join.  Where the base name is one word the
-    meeting is the mention; only the other pairs are verified by a pattern.  Names whose base name has signs outside words
-    are found by their longest word.  A name that ends in a slash has an empty base name, which nothing mentions: it is
-    found by the longest word of its path and only as a whole.  The few names left, without a word to meet on, are compared
-    with every text.  An empty name is mentioned nowhere.
+    A path ends in its file name behind a slash, so who names the path names the file name, and texts are matched with
+    distinct file names once, however many files share one.  A name that ends in a slash has an empty file name, which
+    nothing mentions: it is found as a whole only.  An empty name is mentioned nowhere.
     """
     names = (names or files).select(F.col("file").alias("dst")).where("dst <> ''").distinct()
-    word = r"[\p{L}\p{N}_]+"
     base = text.basename(F.col("dst"))
-    # the key: the longest run of word characters of the base name or path, which any mention must hold as a whole run
-    runs = F.array_sort(F.regexp_extract_all(F.when(base == "", F.col("dst")).otherwise(base), F.lit(word), F.lit(0)), lambda a, b: F.length(b) - F.length(a))
-    keyed = names.select("dst", F.try_element_at(runs, F.lit(1)).alias("key")).withColumn("sure", F.col("key") == text.basename(F.col("dst")))
-    texts = files.where(~text.extension(F.col("file")).isin(list(code.LANGUAGES)) & F.col("content").isNotNull()).select(F.col("file").alias("src"), "content")
-    tokens = texts.select("src", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))).alias("key"))
-    met = tokens.join(keyed.where("key is not null"), "key").where("src <> dst").select("src", "dst", "sure").distinct()
-    whole = F.contains("content", F.col("dst")) & text.mentions(F.col("content"), F.col("dst"))
-    verified = whole | ((base != "") & F.contains("content", base) & text.mentions(F.col("content"), base))
-    open_pairs = met.where("not sure").join(texts, "src").where(verified)
-    wordless = texts.join(keyed.where("key is null").select("dst"), (F.col("src") != F.col("dst")) & verified)
-    return met.where("sure").select("src", "dst").union(open_pairs.select("src", "dst")).union(wordless.select("src", "dst"))
+    named = names.select("dst", F.when(base == "", F.col("dst")).otherwise(base).alias("part"))
+    found = mentioned(files, named.select("part").distinct())
+    return found.join(named, "part").where("src <> dst").select("src", "dst").distinct()
 
 
 def with_references(features: DataFrame, found: DataFrame) -> DataFrame:

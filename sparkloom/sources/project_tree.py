@@ -1,7 +1,8 @@
 """A folder of text files as a relation (file, content).
 
 ``spark.read.format("project_tree").load(path)`` after ``register(spark)``: the driver walks the folder without entering
-ignored ones, and lists of files are the partitions, read and decoded by executors.  (Spark's own file sources skip names
+ignored ones, and lists of files are the partitions, read and decoded by executors.  What can't be read (a dangling link, a
+file without permission or gone meanwhile, something that is no file) is left out, as is what isn't UTF-8.  (Spark's own file sources skip names
 that begin with a dot or an underscore.)  For files that are already in a table, ``collected`` applies the same rules as
 column expressions.
 """
@@ -10,7 +11,9 @@ from __future__ import annotations
 
 import json
 import os
+import stat
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -60,6 +63,13 @@ def patterns(root: str, include: list[str] | None = None, ignore: list[str] | No
     return own.get("include", []) + (include or []), own.get("ignore", []) + (ignore or [])
 
 
+def _size(path: str) -> int:
+    about = os.stat(path)
+    if not stat.S_ISREG(about.st_mode):
+        raise OSError(f"not a file: {path}")
+    return about.st_size
+
+
 def list_files(root: str, include: list[str] | None = None, ignore: list[str] | None = None) -> list[tuple[str, int]]:
     """(relative path, bytes) in order of path."""
     lines = list(DEFAULT)
@@ -77,7 +87,8 @@ def list_files(root: str, include: list[str] | None = None, ignore: list[str] |
         for name in names:
             path = prefix + name
             if not rules.fits(path) and (wanted is None or wanted.covers(path)):
-                found.append((path, os.path.getsize(os.path.join(folder, name))))
+                with suppress(OSError):
+                    found.append((path, _size(os.path.join(folder, name))))
     return sorted(found)
 
 
@@ -107,7 +118,7 @@ class TreeReader(DataSourceReader):
         for at in range(0, len(partition.files), 500):
             rows = []
             for path in partition.files[at : at + 500]:
-                with open(os.path.join(partition.root, path), "rb") as f:
+                with suppress(OSError), open(os.path.join(partition.root, path), "rb") as f:
                     if (text := decode(f.read())) is not None:
                         rows.append({"file": path, "content": text})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("content", pa.string())]))
