@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import os
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +82,26 @@ def counter(encoding: str) -> Counter:
     return count
 
 
+def vocabulary_counter(path: str, pattern: str) -> Counter:
+    """Exact counts by a byte-pair vocabulary in a file of lines "base64 rank", which all executors can read, and its splitting pattern."""
+
+    @F.pandas_udf("bigint")
+    def count(content: pd.Series) -> pd.Series:
+        own = _vocabulary(path, pattern)
+        return pd.Series([0 if c is None else len(own.encode_ordinary(c)) for c in content])
+
+    return count
+
+
+@lru_cache(maxsize=4)
+def _vocabulary(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, w) for m, _, w in MODELS], "model string, window bigint")
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import subprocess
+import tempfile
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +26,55 @@ def finding(content: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
     return F.try_element_at(hits, F.lit(1))
 
 
-def scan(files: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
-    """files with finding and dangerous."""
-    return files.withColumn("finding", finding(F.col("content"), patterns)).withColumn("dangerous", F.col("finding").isNotNull())
+#: (file, content) -> a finding (reason, line, matched_text), False for a clean text, None where the scanner can't say.
+Scanner = Callable[[str, str], "dict | bool | None"]
+
+
+def scan(files: DataFrame, patterns: tuple[str, ...] = PATTERNS, external: Scanner | None = None) -> DataFrame:
+    """files with finding and dangerous; an external scanner decides where it is available, the patterns elsewhere."""
+    own = finding(F.col("content"), patterns)
+    if external is not None:
+        asked = _asked(external)(F.col("file"), F.col("content"))
+        own = text.once(asked, lambda a: F.when(a["state"] == "found", F.struct(a["reason"], a["line"], a["matched_text"])).when(a["state"] == "clean", F.lit(None)).otherwise(own))
+    return files.withColumn("finding", own).withColumn("dangerous", F.col("finding").isNotNull())
+
+
+def _asked(external: Scanner):
+    @F.pandas_udf("state string, reason string, line int, matched_text string")
+    def ask(file: pd.Series, content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for f, c in zip(file, content, strict=True):
+            found = external(f, c) if c is not None else False
+            rows.append(("found", found.get("reason"), found.get("line"), found.get("matched_text")) if isinstance(found, dict) else ("clean" if found is False else "unavailable", None, None, None))
+        return pd.DataFrame(rows, columns=["state", "reason", "line", "matched_text"]).astype({"line": "Int32"})
+
+    return ask
+
+
+class Command:
+    """A scanner run as a program on executors: argv and a file's name; its JSON report is a list of one entry a file, with messages.
+
+    Whatever goes wrong, also that there is no such program, makes it unavailable.
+    """
+
+    def __init__(self, *argv: str, seconds: float = 60):
+        self.argv, self.seconds = argv, seconds
+
+    def __call__(self, file: str, content: str) -> dict | bool | None:
+        try:
+            with tempfile.TemporaryDirectory() as folder:  # the executor's own, for the one call
+                path = os.path.join(folder, os.path.basename(file) or "file")
+                with open(path, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+                report = json.loads(subprocess.run([*self.argv, path], capture_output=True, text=True, timeout=self.seconds, check=False).stdout)  # noqa: S603
+            messages = [m for entry in report for m in entry["messages"]]
+            if not messages:
+                return False
+            line = messages[0].get("range", {}).get("start", {}).get("line")
+            lines = content.splitlines()
+            return {"reason": messages[0].get("message") or "a rule of the scanner", "line": line, "matched_text": lines[line - 1] if line and 1 <= line <= len(lines) else None}
+        except (OSError, ValueError, KeyError, TypeError, AttributeError, subprocess.SubprocessError):
+            return None
 
 
 def safe(scanned: DataFrame) -> DataFrame:

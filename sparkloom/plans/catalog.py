@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import features, graph, references, scoring, search, secrets, snapshots, tech_stack
 from ..sources import ignore_rules, project_tree
+from . import fixed_cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,22 +411,26 @@ def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.floor((F.col("place") - 1) / 8).alias("batch"))
 
 
-# ---- what SQL can't express: rows only
+# ---- code and shortened texts
 
 
-@query()
+@query("SELECT 'e' || event_id || '.json' AS file, replace(props, ' ', '') AS compressed FROM events")
 def compress_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".json")).alias("file"), F.col("props").alias("content"))
     return files.select("file", features.compress_text(F.col("content"), text.extension(F.col("file"))).alias("compressed"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\n\z', ''), chr(10)), 1) AS i FROM documents),
+g AS (SELECT *, trim(line) = '' AS blank, CASE WHEN trim(line) = '' THEN i ELSE i - row_number() OVER (PARTITION BY doc_id, trim(line) = '' ORDER BY i) END AS run FROM l),
+p AS (SELECT doc_id, blank, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, blank, run)
+SELECT 'd' || doc_id || '.md' AS file, '# title' || chr(10) || chr(10) || string_agg(CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || ' ⋮---- (생략)' ELSE t END, chr(10) ORDER BY i) AS compressed FROM p GROUP BY doc_id""")
 def compress_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.concat(F.lit("# title\n\n"), "text").alias("content"))
     return files.select("file", features.compress_text(F.col("content"), text.extension(F.col("file"))).alias("compressed"))
 
 
-@query()
+@query("""SELECT 'd' || doc_id || '.py' AS file, 'f' || doc_id || '(a, b=1) -> int' AS signatures, 'os|pkg.m' || (doc_id % 7) AS dependencies, 'GET /d' || doc_id AS api,
+'import os' || chr(10) || 'from pkg.m' || (doc_id % 7) || ' import x' || chr(10) || chr(10) || '@app.get("/d' || doc_id || '")' || chr(10) || 'def f' || doc_id || '(a, b=1) -> int:' || chr(10) || '    ⋮----' AS compressed FROM documents""")
 def parse_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated Python, one file per document: its signatures, imports, routes and shortened text."""
     body = F.concat(F.lit("import os\nfrom pkg.m"), (F.col("doc_id") % 7).cast("string"), F.lit(' import x\n\n@app.get("/d'), F.col("doc_id").cast("string"), F.lit('")\ndef f'), F.col("doc_id").cast("string"), F.lit("(a, b=1) -> int:\n    return a\n"))
@@ -433,8 +438,13 @@ def parse_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.features(files).select("file", joined("signatures"), joined("dependencies"), joined("api"), "compressed")
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT lower(replace(p_type, ' ', '-')) AS t FROM part), l AS (SELECT list(t ORDER BY t) AS l FROM t)
+SELECT 1 AS ord, 'requirements.txt' AS manifest, 'Python' AS language, 'pip' AS package_manager, array_to_string(l[:40], '|') AS dependencies, len(l) > 40 AS dependencies_truncated FROM l""")
 def tech_stack_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A requirements.txt made of parts' types."""
     lines = table(spark, sf_dir, "part").select(F.lower(F.regexp_replace("p_type", " ", "-")).alias("t")).distinct().agg(F.array_join(F.array_sort(F.collect_list(F.concat("t", F.lit(">=1.0  # pinned")))), "\n").alias("content"))
     return tech_stack.tech_stack(lines.select(F.lit("requirements.txt").alias("file"), "content")).select("ord", "manifest", "language", "package_manager", joined("dependencies"), "dependencies_truncated")
+
+
+QUERIES |= fixed_cases.QUERIES
+ORACLE_SQL |= fixed_cases.ORACLE_SQL

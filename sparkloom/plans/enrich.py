@@ -71,8 +71,13 @@ def _post(url: str, prompt: str) -> tuple[int, str]:
 PROVIDERS: dict[str, Callable[[], Provider]] = {"mock": Mock, "rest": lambda: Rest(os.environ["SPARKLOOM_LLM_URL"])}
 
 
-def provider(name: str | None = None) -> Provider:
-    return PROVIDERS[name or os.environ.get("SPARKLOOM_LLM", "mock")]()
+def maker(name: str | Callable[[], Provider] | None = None) -> Callable[[], Provider]:
+    """What makes a provider; looked up on the driver and sent to workers, which need not know the name."""
+    return name if callable(name) else PROVIDERS[name or os.environ.get("SPARKLOOM_LLM", "mock")]
+
+
+def provider(name: str | Callable[[], Provider] | None = None) -> Provider:
+    return maker(name)()
 
 
 def unfenced(reply: str) -> str:
@@ -97,9 +102,10 @@ def described(file: str, signatures: list[str], dependencies: list[str], content
 
 def summarize(pending: DataFrame, name: str | None = None, *, batch: int = BATCH, workers: int = WORKERS) -> DataFrame:
     """(file, summary) for (file, signatures, dependencies, compressed)."""
+    made_by = maker(name)
 
     def ask(group: pd.DataFrame) -> pd.DataFrame:
-        model, parts = provider(name), {}
+        model, parts = provider(made_by), {}
         for r in group.itertuples():
             parts[r.file] = described(r.file, list(r.signatures), list(r.dependencies), r.compressed or "")
         together = "Say in one line what each file does.\n" + "\n\n".join(parts.values()) + '\nReply as {"summaries": {"<file>": "..."}}'
@@ -122,13 +128,39 @@ def structural(pending: DataFrame) -> DataFrame:
     return pending.select("file", scoring.structural_summary(F.col("signatures"), F.col("dependencies")).alias("summary"))
 
 
-def rules(signatures: dict[str, list[str]], name: str | None = None) -> list[str] | None:
+def rules(signatures: dict[str, list[str]], name: str | Callable[[], Provider] | None = None) -> list[str] | None:
     """Coding rules that the signatures suggest; None if the model gave none."""
     listing = "\n".join(f"{f}: {', '.join(s)}" for f, s in signatures.items())
     found = parsed(provider(name).generate(f'Which coding rules do these functions follow?\n{listing}\nReply as {{"rules": ["..."]}}')).get("rules")
     return [r for r in found if isinstance(r, str)] if isinstance(found, list) else None
 
 
+#: Signatures in a request for rules, at most.
+SIGNATURES = 2000
+
+
+def rules_of_all(signed: DataFrame, name: str | None = None, *, most: int = SIGNATURES) -> list[str] | None:
+    """Rules from all signatures of (file, signatures): asked for in executors, a block of files at a time, and put together.
+
+    None if no block gave any and there is something to ask about.
+    """
+    parts = signed.select("file", F.posexplode("signatures").alias("pos", "signature"))
+    placed = numbered(parts.withColumn("_own", F.col("file")).withColumn("file", F.concat_ws("\0", "file", F.lpad(F.col("pos").cast("string"), 9, "0"))))
+    dealt = placed.select(F.col("_own").alias("file"), "signature", "place", F.floor((F.col("place") - 1) / most).alias("_block"))
+
+    made_by = maker(name)
+
+    def ask(block: pd.DataFrame) -> pd.DataFrame:
+        listing = {f: list(g["signature"]) for f, g in block.sort_values("place").groupby("file", sort=False)}
+        found = rules(listing, made_by)
+        return pd.DataFrame([(int(block["_block"].iloc[0]), k, r) for k, r in enumerate(found or [])] or [(int(block["_block"].iloc[0]), -1, "" if found is None else "-")], columns=["block", "k", "rule"])
+
+    rows = dealt.groupBy("_block").applyInPandas(ask, "block bigint, k int, rule string").orderBy("block", "k").collect()  # a model's replies
+    if rows and all(r["k"] < 0 and not r["rule"] for r in rows):
+        return None
+    return list(dict.fromkeys(r["rule"] for r in rows if r["k"] >= 0))
+
+
 def guide(project: str, own_rules: list[str], name: str | None = None) -> str | None:
     """A guide to the project; None if the model gave none."""
     found = parsed(provider(name).generate(f'Write a short guide to the project {project}. Rules: {"; ".join(own_rules)}\nReply as {{"prompt": "..."}}')).get("prompt")

@@ -29,6 +29,7 @@ class Job:
     result: str | None = None
     pack: packs.Pack | None = None
     stop: threading.Event = field(default_factory=threading.Event)
+    keep: bool = True
     lock: threading.RLock = field(default_factory=threading.RLock)
     thread: threading.Thread | None = None
 
@@ -65,7 +66,7 @@ class Jobs:
                     previous = None
             names = self.spark.createDataFrame([(n,) for n in selected], "file string") if selected else None
             job.log.append("parsing and summarizing")
-            pack = packs.build(self.spark, files, job.project.rstrip("/").rpartition("/")[2], use_llm=use_llm, provider=provider, names=names, previous=previous, cancelled=job.stop.is_set)
+            pack = packs.build(self.spark, files, job.project.rstrip("/").rpartition("/")[2], use_llm=use_llm, provider=provider, names=names, previous=previous, cancelled=job.stop.is_set, stages=f"{job.output}.stages", policy=packs.Policy(keep=lambda: job.keep))
             with job.lock:
                 if job.stop.is_set():
                     job.state, job.error = "cancelled", "stopped"
@@ -75,6 +76,7 @@ class Jobs:
                     # the review reads the pack again and again, so it is stored before
                     held = f"{job.output}.review-{job.id}"
                     job.pack, job.state = packs.load(self.spark, packs.save(pack, held)), "reviewing"
+                    packs.remove(f"{job.output}.stages.pack")
                     job.log.append("ready for review")
         except packs.Cancelled:
             job.state, job.error = "cancelled", "stopped"
@@ -115,9 +117,11 @@ class Jobs:
     def unlink(self, job_id: str, src: str, dst: str) -> dict:
         return self._edit(job_id, graph.unlink, src, dst)
 
-    def stop(self, job_id: str) -> None:
-        """Ask a running job to end at its next stage."""
-        self._job(job_id, "running").stop.set()
+    def stop(self, job_id: str, save: bool = True) -> None:
+        """Ask a running job to end at its next stage, and to keep what it has done for the next run, or not."""
+        job = self._job(job_id, "running")
+        job.keep = save
+        job.stop.set()
 
     def discard(self, job_id: str) -> None:
         job = self._job(job_id, "reviewing")

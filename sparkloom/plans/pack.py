@@ -31,6 +31,34 @@ class SummariesFailed(Exception):
     """The model gave no rules or no guide; stages up to there are kept for another try."""
 
 
+#: What a policy answers to a failure.
+RETRY, EXIT = "retry", "exit"
+
+
+@dataclass(frozen=True)
+class Policy:
+    """What to do where a person would be asked; the defaults are for runs without one.
+
+    failed(field) after the model gave no rules or no guide: RETRY, EXIT (stages are kept) or the value to take, a list of
+    rules or a guide.  resume() if there are stages of an earlier run: go on from them, or start anew.  keep() after a run
+    was cancelled: keep the stages, or discard them.
+    """
+
+    failed: Callable[[str], str | list[str]] = lambda field: EXIT
+    resume: Callable[[], bool] = lambda: True
+    keep: Callable[[], bool] = lambda: True
+
+    def asked(self, field: str, ask: Callable[[], object]) -> object:
+        """What ask() gives, or what the policy takes in its place."""
+        while (found := ask()) is None:
+            answer = self.failed(field)
+            if answer == EXIT:
+                raise SummariesFailed(field)
+            if answer != RETRY:
+                return answer
+        return found
+
+
 @dataclass(frozen=True)
 class Pack:
     files: DataFrame
@@ -80,29 +108,51 @@ def build(
     cancelled: Callable[[], bool] = lambda: False,
     regenerate_failed: bool = False,
     manifests: DataFrame | None = None,
+    external: secrets.Scanner | None = None,
+    policy: Policy = Policy(),  # noqa: B008 - it is frozen
 ) -> Pack | None:
     """A pack of files (file, content): scan, select, parse, summarize, score, connect, count.  None if nothing is selected.
 
     Everything per file is one lazy plan over one parse.  ``stages`` names a folder where the parse and the summaries are
-    written and, if there, read again, so a run that was stopped goes on from them; it is deleted at the end.  Unchanged
-    files of ``previous`` keep their summaries.
+    written by file and content and, if there, read again, so a run that was stopped goes on from them, whatever files it
+    had; it is deleted at the end.  Unchanged
+    files of ``previous`` keep their summaries.  ``external`` scans for secrets where it can, and ``policy`` answers for a person.
     """
 
-    def stage(step: str, df: Callable[[], DataFrame]) -> DataFrame:
+    def hadoop(path: str):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def drop_stages() -> None:
+        at, fs = hadoop(stages)
+        fs.delete(at, True)
+
+    if stages is not None:
+        at, fs = hadoop(stages)
+        if fs.exists(at) and not policy.resume():
+            drop_stages()
+
+    def stage(step: str, wanted: DataFrame, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """make(wanted); what an earlier run has made for rows of the same keys is read instead."""
         if cancelled():
+            if stages is not None and not policy.keep():
+                drop_stages()
             raise Cancelled(step)
         if stages is None:
-            return df().persist()  # recomputed where an executor is lost
-        path = f"{stages}/{step}"
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            df().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    selected = secrets.select_files(secrets.scan(files), names, overrides)
+            return make(wanted).persist()  # recomputed where an executor is lost
+        at, fs = hadoop(f"{stages}/{step}")
+        done = [str(s.getPath()) for s in (fs.listStatus(at) if fs.exists(at) else ()) if fs.exists(hadoop(f"{s.getPath()}/_SUCCESS")[0])]
+        path, schema = f"{stages}/{step}/{uuid.uuid4().hex}", make(wanted).schema
+        have = spark.read.schema(schema).parquet(*done).join(wanted.select(*keys), keys, "left_semi").dropDuplicates(keys) if done else None
+        make(wanted if have is None else wanted.join(have.select(*keys), keys, "left_anti")).write.parquet(path)
+        made = spark.read.schema(schema).parquet(path)
+        return made if have is None else have.select(*made.columns).union(made)
+
+    selected = secrets.select_files(secrets.scan(files, external=external), names, overrides)
     if selected.isEmpty():
         return None
-    parsed = stage("features", lambda: features.features(selected.select("file", "content", "overridden")))
+    wanted = selected.select("file", "content", "overridden", text.fingerprint(F.col("content")).alias("sha256"))
+    parsed = stage("features", wanted, ["file", "sha256", "overridden"], features.features)
     saved = snapshots.manifest(parsed)
     known = parsed.select("file").limit(0).withColumn("summary", F.lit(""))
     if previous is not None:
@@ -110,8 +160,9 @@ def build(
         if regenerate_failed:
             known = known.where(F.col("summary") != scoring.FAILED)
     pending = parsed.join(known, "file", "left_anti")
-    fresh = stage("summaries", lambda: enrich.summarize(pending, provider) if use_llm else enrich.structural(pending))
-    summaries = known.select("file", "summary").unionByName(fresh)
+    summarize = lambda df: (enrich.summarize(df, provider) if use_llm else enrich.structural(df)).join(df.select("file", "sha256"), "file")
+    fresh = stage("summaries", pending, ["file", "sha256"], summarize)
+    summaries = known.select("file", "summary").unionByName(fresh.select("file", "summary"))
 
     # references join the dependencies only now: summaries are about the file's own imports
     linked = references.with_references(parsed, references.references(parsed))
@@ -122,12 +173,9 @@ def build(
 
     own_rules, guide = [], STRUCTURE_ONLY
     if use_llm:
-        # a prompt is bounded, so a project's signatures are drawn in order of name until it is full
-        shown = {r["file"]: list(r["signatures"]) for r in parsed.where(F.size("signatures") > 0).select("file", F.slice("signatures", 1, 20).alias("signatures")).orderBy("file").limit(500).collect()}
-        own_rules = enrich.rules(shown, provider) if shown else []
-        guide = enrich.guide(name, own_rules or [], provider)
-        if own_rules is None or guide is None:
-            raise SummariesFailed("rules" if own_rules is None else "guide")
+        signed = parsed.where(F.size("signatures") > 0).select("file", "signatures")
+        own_rules = policy.asked("rules", lambda: enrich.rules_of_all(signed, provider))
+        guide = policy.asked("guide", lambda: enrich.guide(name, own_rules, provider))
     stack = tech_stack.tech_stack(manifests if manifests is not None else files)
     entry = F.struct(*(F.col(c) for c in ("manifest", "language", "package_manager", "dependencies", "dependencies_truncated")))
     stacks = stack.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", entry.alias("e")))), lambda x: x["e"]).alias("tech_stack"))
@@ -139,8 +187,7 @@ def build(
         path = f"{stages}/../{Path(stages).name}.pack"
         save(made, path)
         made = load(spark, path)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stages)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        drop_stages()
     return made
 
 
@@ -186,6 +233,40 @@ def edit_edges(pack: Pack, change: Callable[..., DataFrame], *names: str) -> Pac
     return replace(pack, edges=change(pack.edges, pack.files, *names))
 
 
+CORRECTIONS = "ord int, field string, file string, value string"
+
+
+def apply_corrections(pack: Pack, corrections: DataFrame) -> tuple[Pack, list[str]]:
+    """(the pack with a table of corrections applied in their order, what couldn't be applied and why).
+
+    Fields: name, prompt, rule_add (value), rule_remove (value: its number from 1), rule_replace (file: its number, value),
+    summary (file, value), link, unlink and move (file, value: the other file).  One that fails is reported, and the rest
+    goes on.  A person makes them, so they are few; summaries are applied together as a table.
+    """
+    problems: list[str] = []
+    for r in corrections.where("field <> 'summary'").orderBy("ord").collect():
+        try:
+            if r["field"] in ("name", "prompt"):
+                pack = edit_project(pack, **{r["field"]: r["value"]})
+            elif r["field"] == "rule_add":
+                pack = add_rule(pack, r["value"])
+            elif r["field"] in ("rule_remove", "rule_replace"):
+                rules, place = rules_of(pack), int(r["value"] if r["field"] == "rule_remove" else r["file"]) - 1
+                if not 0 <= place < len(rules):
+                    raise ValueError(f"no rule {place + 1}")
+                rules[place : place + 1] = [] if r["field"] == "rule_remove" else [r["value"]]
+                pack = edit_project(pack, rules=rules)
+            elif r["field"] in ("link", "unlink", "move"):
+                pack = edit_edges(pack, getattr(graph, r["field"]), r["file"], r["value"])
+            else:
+                raise ValueError(f"unknown field: {r['field']}")
+        except (ValueError, TypeError) as e:  # a CycleError is a ValueError
+            problems.append(f"{r['field']} {r['file'] or ''} {r['value'] or ''}: {e}")
+    summaries = corrections.where("field = 'summary'").groupBy("file").agg(F.max_by("value", "ord").alias("summary"))
+    problems += [f"summary {r['file']}: unknown file" for r in summaries.join(pack.files, "file", "left_anti").orderBy("file").collect()]
+    return edit_summaries(pack, summaries), problems
+
+
 def edit_saved_edges(spark: SparkSession, path: str, change: Callable[..., DataFrame], *names: str) -> None:
     """The same in place; only the edge table is written again.  One writer at a time holds the pack's lock file."""
     lock = f"{path.removeprefix('file://')}/.lock"
@@ -215,6 +296,20 @@ def document(pack: Pack) -> dict:
     }
 
 
+def overview_text(pack: Pack) -> str:
+    """Name, guide and rules as Markdown."""
+    p = pack.project.head()
+    return f"# {p['name']}\n\n{p['prompt'] or ''}\n\n## Rules\n" + "\n".join(f"- {r}" for r in p["rules"] or [])
+
+
+def file_text(pack: Pack, file: str) -> str:
+    """A file's summary and shortened text as Markdown."""
+    entry, detail = (df.where(F.col("file") == file).head() for df in (pack.files, pack.detail))
+    if detail is None:
+        raise ValueError(f"unknown file: {file}")
+    return f"# {file}\n\n{(entry['summary'] if entry else '') or ''}\n\n```\n{detail['compressed']}\n```"
+
+
 def export_json(pack: Pack, path: str) -> list[str]:
     """<name>.json, <name>.detail.json and, if there is a manifest, <name>.cache.json; gives the paths."""
     base = path.removesuffix(".json")

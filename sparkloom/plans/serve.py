@@ -30,7 +30,9 @@ PROTOCOL = "2024-11-05"
 class Service:
     """Routes to functions; ``answer`` gives (status, body)."""
 
-    def __init__(self, spark: SparkSession, settings_path: str = ".sparkloom-settings.json"):
+    def __init__(self, spark: SparkSession, settings_path: str = ".sparkloom-settings.json", config: dict | None = None):
+        """config: the project and pack that a client starts with, if any."""
+        self.config = {"project": None, "pack": None} | (config or {})
         self.spark, self.jobs, self.settings, self.writing = spark, Jobs(spark), settings_path, threading.Lock()
         question = lambda f, **names: lambda a: f(**{to: a[name] for name, to in names.items() if a.get(name) not in (None, "")})
         own = {"pack": "pack_path", "project": "project_path"}
@@ -41,11 +43,12 @@ class Service:
             "/api/search": lambda a: api.search_project(a["project"], a["pattern"], _int(a.get("context")) or 0, str(a.get("ignore_case", "")).lower() in ("1", "true")),
             "/api/select_files": lambda a: self.jobs.selectable(a["project"]) | {"output": settings.output_path(self.settings, a["project"])},
             "/api/pack/status": lambda a: self.jobs.status(a["job"], _int(a.get("since")) or 0), "/api/pack/review": lambda a: self.jobs.review(a["job"]), "/api/settings": lambda a: settings.load(self.settings),
+            "/api/config": lambda a: dict(self.config), "/api/overview/text": lambda a: {"text": packs.overview_text(packs.load(self.spark, a["pack"]))}, "/api/files/text": lambda a: {"text": packs.file_text(packs.load(self.spark, a["pack"]), a["file"])},
         }
         self.post: dict[str, Callable[[dict], object]] = {
             "/api/pack": self._start, "/api/pack/link": lambda a: self.jobs.link(a["job"], a["file"], a["target"]), "/api/pack/unlink": lambda a: self.jobs.unlink(a["job"], a["file"], a["target"]),
             "/api/pack/finalize": lambda a: {"pack": self.jobs.finish(a["job"], name=a.get("name"), prompt=a.get("prompt"), rules=a.get("rules"), summaries=a.get("summaries"))},
-            "/api/pack/stop": lambda a: self.jobs.stop(a["job"]), "/api/pack/cancel": lambda a: self.jobs.discard(a["job"]), "/api/settings": lambda a: settings.save(self.settings, settings.load(self.settings) | a),
+            "/api/pack/stop": lambda a: self.jobs.stop(a["job"], a.get("save", True) not in (False, "false", "0")), "/api/pack/cancel": lambda a: self.jobs.discard(a["job"]), "/api/settings": lambda a: settings.save(self.settings, settings.load(self.settings) | a),
             "/api/relationships/link": lambda a: self._edit(graph.link, a), "/api/relationships/unlink": lambda a: self._edit(graph.unlink, a),
         }
 
