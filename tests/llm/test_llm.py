@@ -617,8 +617,9 @@ def test_lm_odd_tables(spark):
     assert lm_scoring.score(empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("bins", [3, 1_000_000])
-def test_repeated_passages_equal_brute_force(spark, bins, monkeypatch):
+@pytest.mark.parametrize(("bins", "fan"), [(3, substring_dedup.FAN), (1_000_000, substring_dedup.FAN), (3, 5), (100, 4)])
+def test_repeated_passages_equal_brute_force(spark, bins, fan, monkeypatch):
+    """In one step and, with a small fan, in two; in bins of a few and of all entries."""
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 3000)
     rng = random.Random(11)
     passages = [some_words(rng, n, 5000) for n in (13, 14, 12, 40, 13)]
@@ -630,7 +631,7 @@ def test_repeated_passages_equal_brute_force(spark, bins, monkeypatch):
             own += some_words(rng, rng.randrange(9), 5000)
         texts.append(" ".join(own))
     table = text_table(spark, [*texts, None, ""]).repartition(5)
-    got = {r["doc_id"]: r for r in substring_dedup.repeated(table, bin_entries=bins).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.repeated(table, bin_entries=bins, fan=fan).collect()}
     first = {}
     for i, t in enumerate([*texts, "", ""]):
         w = t.split()
@@ -647,6 +648,29 @@ def test_difference_cover():
     assert {(a - b) % 7 for a in substring_dedup.COVER for b in substring_dedup.COVER} == set(range(7))
 
 
+def test_equal_hashes_are_told_apart_by_the_second():
+    kind = substring_dedup.Windows(4)
+    key, check, low = np.array([7, 7, 9, 7], np.uint64), np.array([1, 2, 1, 1], np.uint64), np.array([5, 3, 2**40, 4])
+    part = kind.unpack(kind.pack(key, check, low))
+    assert all((a == b).all() for a, b in zip(part, (key, check, low), strict=True))
+    merged, row = kind.merge([part])
+    assert merged[2][row].tolist() == [4, 3, 2**40, 4] and kind.bits(merged, row, [part]).tolist() == [True, False, False, False]
+
+
+def test_messages_are_bounded_and_hot_passages_merged(spark, monkeypatch):
+    """A passage of all documents: with two steps its bin holds at most an entry per relay, and nobody sends more than fan messages."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 200)
+    rng, fan, passage = random.Random(25), 4, [f"p{k}" for k in range(20)]
+    texts = [" ".join(some_words(rng, 20, 10**6) + passage) for _ in range(60)]
+    asked, sizes = substring_dedup._asked, []
+    monkeypatch.setattr(substring_dedup, "_asked", lambda messages, *a: (sizes.append(messages.groupBy("block").count().agg({"count": "max"}).first()[0]), asked(messages, *a))[1])
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.digests(text_table(spark, texts).repartition(3), bin_entries=100, fan=fan).collect()}
+    assert got == {k: 20 * (k > 0) for k in range(60)} and sizes and max(sizes) <= fan
+    kind = substring_dedup.Anchors(8)
+    merged, _ = kind.merge([(np.array([5], np.uint64), np.array([False]))] * 1000)
+    assert len(merged[0]) == 1 and merged[1].all()
+
+
 def test_repeated_passages_odd_tables(spark):
     rows = substring_dedup.digests(odd(spark)).collect()
     assert Counter((r["doc_id"], r["n_removed"]) for r in rows) == Counter((i, 0) for i, _, _ in ODD)
