@@ -12,6 +12,7 @@ than the named ones are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -40,11 +41,28 @@ def _byte_letters() -> dict[int, str]:
     return dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+#: How the default tokenizer normalizes and splits: fixed values, which _word() follows.
+_NORMALIZED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _set_up(tokenizer) -> bool:
+    """Whether a tokenizer normalizes and splits as _word() does; its vocabulary doesn't matter."""
+    own = json.loads(tokenizer.to_str())
+    normalized, split = own["normalizer"] or {}, own["pre_tokenizer"] or {}
+    added = all("<|" in t["content"] for t in own["added_tokens"])
+    return added and own["model"]["type"] == "BPE" and normalized.get("normalizers") == _NORMALIZED and split.get("pretokenizers") == _SPLIT
+
+
 class Encoder:
     """encode(text): the ids that the tokenizer gives without special tokens, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and lets no token cross it, so a text's ids are its words' ids in a row and each
-    distinct word is encoded once.  Words of ASCII and Latin letters go to the BPE model directly.
+    A tokenizer set up like the default one drops white space and lets no token cross it, so a text's ids are its words'
+    ids in a row and each distinct word is encoded once; words of ASCII and Latin letters go to the BPE model directly.
+    Any other tokenizer is given whole texts.
     """
 
     def __init__(self, path: str | None = None):
@@ -56,6 +74,7 @@ class Encoder:
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = _set_up(self.tokenizer)
         letters = _byte_letters()
         self.letters = [letters[b] for b in range(256)]
         self.packed = [np.uint32(i).astype("<u4").tobytes() for i in range(self.tokenizer.get_vocab_size() + 1)]
@@ -77,7 +96,9 @@ class Encoder:
         return self.whole(text)
 
     def encode(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.word_ids.__getitem__, text.split())) if text else b""
+        if not text:
+            return b""
+        return b"".join(map(self.word_ids.__getitem__, text.split())) if self.by_words else self.whole(text.decode())
 
 
 def tokenize_pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
