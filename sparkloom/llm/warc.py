@@ -83,6 +83,34 @@ class Record:
     offset: int
 
 
+class _Ahead:
+    """A file read in large pieces one after the other; only what begins beyond the piece at hand is sought."""
+
+    def __init__(self, file, piece: int = 1 << 20):
+        self.file, self.piece, self.base, self.held, self.at, self.over = file, piece, 0, b"", 0, False
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int) -> bytes:
+        end = self.base + len(self.held)
+        if not self.base <= self.at <= end or (not self.held and self.at != self.base):
+            self.file.seek(self.at)
+            self.base, self.held, end, self.over = self.at, b"", self.at, False
+        elif end == 0:
+            self.file.seek(0)
+        if self.at + n > end and not self.over:
+            more = self.file.read(max(self.piece, self.at + n - end))
+            self.held, self.over = self.held[self.at - self.base :] + more, not more
+            self.base = self.at
+        got = self.held[self.at - self.base : self.at - self.base + n]
+        self.at += len(got)
+        return got
+
+
 class _Members:
     """The gzip members of a byte range of an open file."""
 
@@ -224,7 +252,7 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("content_length", pa.int64()), ("payload_length", pa.int64()), ("http_headers", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
         rows, held = [], 0
         with system.open_input_file(partition.path) as file:
-            for r in _Members(file, partition.start, partition.end).read(self._wanted):
+            for r in _Members(_Ahead(file), partition.start, partition.end).read(self._wanted):
                 http = payload = None
                 if r.block is not None and r.headers.get("content-type", "").startswith("application/http"):
                     http, _, payload = r.block.partition(b"\r\n\r\n")
