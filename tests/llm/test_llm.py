@@ -86,6 +86,21 @@ def test_encoder_equals_the_tokenizer(spark):
         assert encoder.encode(t.encode()) == encoder.whole(t), t[:50]
 
 
+def test_encoder_of_another_tokenizer(spark):
+    """One that keeps white space, splits otherwise and has upper case is given whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert packing.Encoder().by_words
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.by_words
+    for t in ["Two  words\n\tand Ünï", "", " It's 12 ", "x" * 300]:
+        assert np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    rows = packing.pack_documents(text_table(spark, ["Two  words", None]), path=path).orderBy("doc_id").collect()
+    assert rows[0]["length"] == len(plain.encode("Two  words").ids) + 1 and rows[1]["length"] == 1
+
+
 def placed(rows, capacity):
     bins = {}
     for r in rows:
@@ -498,6 +513,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert texts["<urn:page:2>"] == "é" * 600 and texts["<urn:page:8>"] == "y" * 300_000
 
 
+def test_reading_ahead_gives_the_files_bytes_in_few_reads():
+    import io
+
+    class Counted(io.BytesIO):
+        reads = seeks = 0
+
+        def read(self, n=-1):
+            self.reads += 1
+            return super().read(n)
+
+        def seek(self, *a):
+            self.seeks += 1
+            return super().seek(*a)
+
+    data, rng = random.Random(26).randbytes(50_000), random.Random(27)
+    ahead = warc._Ahead(io.BytesIO(data), 1000)
+    for _ in range(3000):
+        at, n = rng.choice([ahead.tell(), max(0, ahead.tell() + rng.randrange(-300, 1500)), rng.randrange(60_000)]), rng.randrange(900)
+        ahead.seek(at)
+        assert ahead.read(n) == data[at : at + n]
+    blocks = b"".join(warc.member(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<r{k}>")], rng.randbytes(2000))) for k in range(500))
+    file = Counted(blocks)
+    found = list(warc._Members(warc._Ahead(file), 0, len(blocks)).read(lambda headers: 1))
+    assert len(found) == 500 and file.reads <= 3 and file.seeks <= 1
+
+
 def test_warc_filters_splits_and_foreign_files(spark, tmp_path):
     folder = tmp_path / "w"
     folder.mkdir()
@@ -718,6 +759,58 @@ def test_wrapped_secrets_are_found_where_they_are(wrap):
     assert "[assign]" in secrets.masked(text, spans) and secrets.masked(text, spans).endswith(" and more")
 
 
+def search_by_hand(text, depth=0):
+    """The values of secrets in any layer: every run of each coding is decoded by itself, whatever else is in the text, to a fixed depth."""
+    found = {(k, text[s:e]) for k, s, e in plain_base(text)}
+    if depth == 6:
+        return found
+    inside = []
+    for run in re.findall(r"(?:%[0-9A-Fa-f]{2}|[^%])+", text) if "%" in text else []:
+        inside.append(urllib.parse.unquote(run, errors="replace"))
+    if "\\u" in text:
+        inside.append(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), text))
+    for run in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        for skip in range(4):
+            code = run.rstrip("=")[skip:]
+            code = code[: len(code) - (len(code) % 4 == 1)]
+            data = base64.b64decode(code + "=" * (-len(code) % 4))
+            for unpack in (gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress):
+                try:
+                    data = unpack(data)
+                except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+                    continue
+            inside.append(data.decode("ascii", "replace"))
+    for layer in inside:
+        if layer != text:
+            found |= search_by_hand(layer, depth + 1)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nested_secrets_equal_an_independent_search(seed):
+    """Random nestings, several in a text and some of them twice: each wrapped secret is masked, and nothing that the search by hand finds is left."""
+    rng = random.Random(seed)
+    compressed = lambda pack: lambda s: base64.b64encode(pack(s.encode())).decode()
+    wraps = [lambda s: base64.b64encode(s.encode()).decode(), lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), compressed(gzip.compress), compressed(zlib.compress), compressed(bz2.compress), compressed(lzma.compress)]
+    for _ in range(25):
+        hidden = []
+        for k in range(rng.randrange(1, 4)):
+            own = rng.choice(['password = "hunter{}hunter2"', "AKIAABCDEFGH{}IJKLMNOP", "{}0123456789abcdef0123456789abcdef"]).format(k)
+            for _ in range(rng.randrange(0, 4)):
+                own = rng.choice(wraps)(own)
+            hidden += [own] * rng.choice([1, 1, 2])
+        rng.shuffle(hidden)
+        text = "".join(f"{' '.join(some_words(rng, 3))} {h} " for h in hidden) + "end"
+        _, spans = secrets.scan(text)
+        at = 0
+        for h in hidden:  # each place is covered by a span
+            at = text.index(h, at)
+            assert any(at <= s < e <= at + len(h) for _, s, e in spans), h
+            at += len(h)
+        clean = secrets.masked(text, spans)
+        assert search_by_hand(clean) == set() and search_by_hand(text) and secrets.scan(clean)[1] == []
+
+
 def test_secret_layers_end():
     t = "%2525252561" * 50 + base64.b64encode(b"%41" * 200).decode() + "&amp;amp;amp;" + base64.b64encode(gzip.compress(b"\0" * 10**6)).decode()
     assert secrets.scan(t)[0] == plain_base(t)
