@@ -42,8 +42,8 @@ PERCENT = 85
 BANDS = 24
 ROWS = 5
 #: A bucket that needs it is compared in pairs of blocks of so many sets or shingles, on average.
-BLOCK_SETS = 400
-BLOCK_SHINGLES = 150_000
+BLOCK_SETS = 1200
+BLOCK_SHINGLES = 300_000
 
 _TOP = np.uint64(48)
 
