@@ -218,6 +218,20 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lines: in
     return fit(chains, [int(r["quality"] > 0) for r in got], begins=[r["at"] == 0 for r in got], of=[r["of"] for r in got])
 
 
+def base(docs: DataFrame) -> DataFrame:
+    """doc_id with the base counts and base_failed, without the field."""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(word_hash)
+        for batch in batches:
+            found = [base_counts(text, memo) for (text,) in rows_of([batch], "text")]
+            counts = {n: pa.array([f[k] for f in found], pa.int64()) for k, n in enumerate(names)}
+            yield pa.record_batch({"doc_id": batch.column("doc_id")} | counts | {"base_failed": pa.array([base_failed(f[0], f[4]) for f in found], pa.bool_())})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + "".join(f"{n} bigint, " for n in names) + "base_failed boolean")
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: float = CONTENT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share."""
     field = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample=sample))

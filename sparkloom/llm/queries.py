@@ -50,6 +50,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_quality_rules that SQL can express."""
+    return quality.base(table(spark, sf_dir, "documents"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_secret_scans that SQL can express."""
+    return secrets.find(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
+    "quality_base_counts": quality_base_counts,
+    "secret_counts": secret_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -68,4 +80,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_url_filters": oracle.OP4,
     "op6_warc": oracle.OP6,
     "op8_substring_dedup": oracle.OP8,
+    "quality_base_counts": oracle.QUALITY_BASE,
+    "secret_counts": oracle.SECRET_COUNTS,
 }
