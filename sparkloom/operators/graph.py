@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import shared_dir
+from ..tables import cut
 
 
 class CycleError(ValueError):
@@ -65,30 +65,24 @@ def dependents(edges: DataFrame, file: str) -> DataFrame:
     return internal(edges).where(F.col("dst") == file).select(F.col("src").alias("file")).distinct()
 
 
-def _checkpoints(df: DataFrame) -> None:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
-
-
 def closure(edges: DataFrame, seeds: DataFrame, *, every: int = 4) -> DataFrame:
     """(seed, node): what each seed reaches along (src, dst) in one step or more; itself only through a cycle.
 
-    Rounds extend the newest nodes by one step.  Edges and nodes stay in tables; a round ends in a checkpoint, so the plan
-    stays short and survives lost executors.
+    Rounds extend the newest nodes by one step.  Edges and nodes stay in tables; a round ends in one, so the plan stays
+    short and survives lost executors.
     """
-    _checkpoints(edges)
-    step = edges.select("src", "dst").distinct().checkpoint()
-    newest = seeds.select("seed", F.col("seed").alias("src")).join(step, "src").select("seed", F.col("dst").alias("node")).distinct().checkpoint()
+    step = cut(edges.select("src", "dst").distinct(), "edges")
+    newest = seeds.select("seed", F.col("seed").alias("src")).join(step, "src").select("seed", F.col("dst").alias("node")).distinct()
+    newest = cut(newest, "reached")
     seen = newest
     rounds = 0
     while not newest.isEmpty():
         ahead = newest.withColumnRenamed("node", "src").join(step, "src").select("seed", F.col("dst").alias("node")).distinct()
-        newest = ahead.join(seen, ["seed", "node"], "left_anti").checkpoint()
+        newest = cut(ahead.join(seen, ["seed", "node"], "left_anti"), "reached")
         seen = seen.union(newest)
         rounds += 1
         if rounds % every == 0:
-            seen = seen.checkpoint()
+            seen = cut(seen, "reached")
     return seen
 
 
@@ -109,15 +103,14 @@ def reaches(edges: DataFrame, start: str, goal: str, *, every: int = 4) -> bool:
     """
     if start == goal:
         return True
-    _checkpoints(edges)
-    step = internal(edges).select("src", "dst").checkpoint()
+    step = cut(internal(edges).select("src", "dst"), "edges")
     newest = [edges.sparkSession.createDataFrame([(x,)], "node string") for x in (start, goal)]
     seen, sizes, rounds = list(newest), [1, 1], 0
     while True:
         side = int(sizes[1] < sizes[0])
         here, there = ("src", "dst")[:: 1 - 2 * side]
         ahead = step.join(newest[side].withColumnRenamed("node", here), here).select(F.col(there).alias("node")).distinct()
-        ahead = ahead.join(seen[side], "node", "left_anti").checkpoint()
+        ahead = cut(ahead.join(seen[side], "node", "left_anti"), "reached")
         sizes[side] = ahead.count()
         if not sizes[side]:
             return False
@@ -125,7 +118,7 @@ def reaches(edges: DataFrame, start: str, goal: str, *, every: int = 4) -> bool:
             return True
         newest[side], seen[side], rounds = ahead, seen[side].union(ahead), rounds + 1
         if rounds % every == 0:
-            seen = [x.checkpoint() for x in seen]
+            seen = [cut(x, "reached") for x in seen]
 
 
 # ---- edits: each gives a new edge table
