@@ -362,16 +362,16 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH names AS (SELECT DISTINCT split_part(split_part(url, '://', 2), '?', 1) AS dst FROM pages),
 docs AS (SELECT 'p' || page_id || '.html' AS src, html || ' ' || url AS content FROM pages),
-n AS (SELECT dst, regexp_extract(dst, '[^/]*$') AS base FROM names),
-near AS MATERIALIZED (SELECT src, dst, base, content FROM docs JOIN n ON contains(content, base) WHERE regexp_matches(base, '[\pL\pN_]'))
+n AS (SELECT dst, regexp_extract(dst, '[^/]*$') AS base FROM names WHERE dst <> ''),
+near AS MATERIALIZED (SELECT src, dst, base, content FROM docs JOIN n ON contains(content, CASE WHEN base = '' THEN dst ELSE base END))
 SELECT src, dst FROM near
-WHERE regexp_matches(content, '(?:^|[^\pL\pN_])' || regexp_escape(dst) || '(?:[^\pL\pN_]|$)') OR regexp_matches(content, '(?:^|[^\pL\pN_])' || regexp_escape(base) || '(?:[^\pL\pN_]|$)')""")
+WHERE regexp_matches(content, '(?:^|[^\pL\pN_])' || regexp_escape(dst) || '(?:[^\pL\pN_]|$)') OR (base <> '' AND regexp_matches(content, '(?:^|[^\pL\pN_])' || regexp_escape(base) || '(?:[^\pL\pN_]|$)'))""")
 def text_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which page's text and address name which address, or its last part; as in the SQL, no address whose last part has no word."""
+    """Which page's text and address name which address, or its last part; an address that ends in a slash only as a whole."""
     pages = table(spark, sf_dir, "pages")
     files = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file"), F.concat("html", F.lit(" "), "url").alias("content"))
     names = pages.select(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)).alias("file"))
-    return references.references(files, names.where(F.rlike(text.basename(F.col("file")), F.lit(r"[\p{L}\p{N}_]"))))
+    return references.references(files, names)
 
 
 @query("""WITH o AS (SELECT l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) AS k FROM lineitem GROUP BY 1, 2),
