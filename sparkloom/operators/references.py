@@ -7,24 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions import code, text
 
+#: Characters of the keys of names without a word.
+GRAM = 3
+
 
 def mentioned(files: DataFrame, parts: DataFrame) -> DataFrame:
     """(src, part): src's text holds a part with no letter, digit or underscore next to it.
 
     Texts and parts meet on words, by a hash join: a part's key is its longest run of word characters, which a mention must
-    hold as a whole run.  Where the part is one word the meeting is the mention; only the other pairs are verified by a
-    pattern.  The few parts without a word to meet on are compared with every text.
+    hold as a whole run.  A part without any has its first GRAM characters as key (all, if it is shorter) and meets the
+    texts' runs of so many other characters, which are looked for only if there is such a part.  Where the part is one word
+    the meeting is the mention; only the other pairs are verified by a pattern.
     """
-    word = r"[\p{L}\p{N}_]+"
+    word, other = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]"
     runs = F.array_sort(F.regexp_extract_all("part", F.lit(word), F.lit(0)), lambda a, b: F.length(b) - F.length(a))
-    keyed = parts.select("part", F.try_element_at(runs, F.lit(1)).alias("key")).withColumn("sure", F.col("key") == F.col("part"))
+    split = parts.where("part <> ''").select("part", F.try_element_at(runs, F.lit(1)).alias("run"))
+    keyed = split.select("part", F.coalesce("run", F.substring("part", 1, GRAM)).alias("key")).withColumn("sure", (F.col("key") == F.col("part")) & F.col("part").rlike(f"^{word}$"))
     texts = files.where(~text.extension(F.col("file")).isin(list(code.LANGUAGES)) & F.col("content").isNotNull()).select(F.col("file").alias("src"), "content")
     tokens = texts.select("src", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))).alias("key"))
-    met = tokens.join(keyed.where("key is not null"), "key").select("src", "part", "sure")
+    grams = F.concat(*(F.regexp_extract_all("content", F.lit(f"(?=({other}{{{k}}}))"), F.lit(1)) for k in range(1, GRAM + 1)))
+    tokens = tokens.union(texts.where(split.where("run is null").exists()).select("src", F.explode(F.array_distinct(grams))))
+    met = tokens.join(keyed, "key").select("src", "part", "sure")
     verified = F.contains("content", F.col("part")) & text.mentions(F.col("content"), F.col("part"))
     checked = met.where("not sure").join(texts, "src").where(verified)
-    wordless = texts.join(keyed.where("key is null").select("part"), verified)
-    return met.where("sure").select("src", "part").union(checked.select("src", "part")).union(wordless.select("src", "part"))
+    return met.where("sure").select("src", "part").union(checked.select("src", "part"))
 
 
 def references(files: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -191,6 +191,18 @@ def test_references_to_names_without_a_word_at_their_end(spark):
     assert rows(references.references(files, names(spark, *targets)), "src", "dst") == expected
 
 
+def test_references_by_runs_of_other_characters(spark):
+    contents = {"---": "", "r.txt": "see --- here a+.b +. ok", "s.txt": "-----", "t.txt": "a---b", "u.txt": "x -- - y", "v.txt": "w …z", "w.txt": "\U0001f600", "x.txt": "a \U0001f600\U0001f600-- b", "y.txt": ""}
+    targets = ["---", "a/+.", "x/-- -", "é/…", "q/\U0001f600", "z/\U0001f600\U0001f600\U0001f600", "z/\U0001f600\U0001f600--", "..."]
+    files = spark.createDataFrame(list(contents.items()), "file string, content string")
+    has = lambda c, t: re.search(rf"(?<!\w){re.escape(t)}(?!\w)", c) is not None
+    expected = sorted((f, t) for f, c in contents.items() for t in targets if f != t and (has(c, t) or has(c, t.rsplit("/", 1)[-1])))
+    found = references.references(files, names(spark, *targets))
+    assert len(expected) > 5 and rows(found, "src", "dst") == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_compress_plain_equals_the_function(spark):
     rng = random.Random(5)
     texts = ["\n".join(rng.choice(["", "a", "b" * 250, " ", "c d"]) for _ in range(rng.randrange(40))) for _ in range(60)] + [""]
