@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -314,13 +314,28 @@ def export_json(pack: Pack, path: str) -> list[str]:
     """<name>.json, <name>.detail.json and, if there is a manifest, <name>.cache.json; gives the paths."""
     base = path.removesuffix(".json")
     Path(base).parent.mkdir(parents=True, exist_ok=True)
-    out = {f"{base}.json": document(pack), f"{base}.detail.json": {r["file"]: {"compressed": r["compressed"]} for r in pack.detail.orderBy("file").collect()}}
-    manifest = {r["file"]: r["sha256"] for r in pack.manifest.orderBy("file").collect()}
-    if manifest:
-        out[f"{base}.cache.json"] = manifest
-    for name, data in out.items():
-        Path(name).write_text(json.dumps(data, ensure_ascii=False, indent=2), encoding="utf-8")
-    return list(out)
+    Path(f"{base}.json").write_text(json.dumps(document(pack), ensure_ascii=False, indent=2), encoding="utf-8")
+    write_object(pack.detail, F.struct("compressed"), f"{base}.detail.json")
+    out = [f"{base}.json", f"{base}.detail.json"]
+    if not pack.manifest.isEmpty():
+        out.append(f"{base}.cache.json")
+        write_object(pack.manifest, F.col("sha256"), out[-1])
+    return out
+
+
+def write_object(df: DataFrame, value: Column, path: str) -> None:
+    """One JSON object {file: value} in order of files, as json.dumps with an indent of 2 writes it.
+
+    Rows come to the driver a partition at a time, so its memory is bounded by the largest partition, not by the table.
+    """
+    with open(path, "w", encoding="utf-8") as out:
+        before = "{"
+        for r in df.orderBy("file").select("file", value.alias("v")).toLocalIterator():
+            v = r["v"].asDict() if isinstance(r["v"], Row) else r["v"]
+            inner = json.dumps(v, ensure_ascii=False, indent=2).replace("\n", "\n  ")
+            out.write(f"{before}\n  {json.dumps(r['file'], ensure_ascii=False)}: {inner}")
+            before = ","
+        out.write("{}" if before == "{" else "\n}")
 
 
 def output_path(name: str, path: str | None = None, folder: str = "result") -> str:

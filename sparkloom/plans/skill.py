@@ -12,6 +12,8 @@ from ..functions import text
 from ..operators import graph
 from . import pack as packs
 
+DETAIL = "references/detail.json"
+
 
 def file_lines(files: DataFrame) -> DataFrame:
     """(file, line): rows of a Markdown table."""
@@ -32,7 +34,13 @@ def _in_order(lines: DataFrame) -> list[str]:
 
 
 def documents(spark: SparkSession, pack: packs.Pack) -> dict[str, str]:
-    """The documents by path; rendered by executors, put together on the driver."""
+    """All documents by path, for small projects; export() writes the texts without gathering them."""
+    detail = {r["file"]: {"compressed": r["compressed"]} for r in pack.detail.orderBy("file").collect()}
+    return rendered(spark, pack) | {DETAIL: json.dumps(detail, ensure_ascii=False, indent=2)}
+
+
+def rendered(spark: SparkSession, pack: packs.Pack) -> dict[str, str]:
+    """The documents by path, but for the texts; rendered by executors, put together on the driver."""
     p = pack.project.head()
     n = pack.files.count()
     rules = list(p["rules"] or [])
@@ -61,24 +69,23 @@ A snapshot of {n} files with {len(rules)} rules; the project may have changed si
 1. `references/overview.md`: guide, rules, token numbers.
 2. `references/files.md`: a line and a confidence per file; where that is low, look at the file itself.
 3. `references/relationships.md`: what each file depends on.
-4. `references/detail.json`: shortened texts by path; look up single files.
+4. `{DETAIL}`: shortened texts by path; look up single files.
 """
-    detail = {r["file"]: {"compressed": r["compressed"]} for r in pack.detail.orderBy("file").collect()}
     return {
         "SKILL.md": index,
         "references/overview.md": "\n".join(overview) + "\n",
         "references/files.md": "\n".join(["# Files", "", f"{n} files by path.", "", "| File | Confidence | Summary |", "|---|---|---|", *_in_order(file_lines(pack.files))]) + "\n",
         "references/relationships.md": "\n".join(["# Dependency graph", "", "What each file depends on.", *_in_order(relationship_lines(pack.edges, pack.files))]) + "\n",
-        "references/detail.json": json.dumps(detail, ensure_ascii=False, indent=2),
     }
 
 
 def export(spark: SparkSession, pack_path: str, folder: str | None = None) -> str:
     """Write the documents; gives the folder."""
     pack = packs.load(spark, pack_path)
-    made = documents(spark, pack)
+    made = rendered(spark, pack)
     root = Path(folder or f"{pack_path}-skill")
     for name, content in made.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(content, encoding="utf-8")
+    packs.write_object(pack.detail, F.struct("compressed"), str(root / DETAIL))
     return str(root)

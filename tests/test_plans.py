@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sparkloom.operators import graph, scoring
@@ -88,6 +89,18 @@ def test_documents(spark, saved, tmp_path):
     assert len(paths) == 3 and "compressed" not in (tmp_path / "x.json").read_text().split('"tokens"')[0]
 
 
+def test_objects_are_written_as_json_writes_them(spark, saved, tmp_path):
+    at = tmp_path / "o.json"
+    for rows in ([], [("b", "x\n\"é"), ("a", None), ("c\\", "")], [(f"f{k:03}", "t" * k) for k in range(50)]):
+        df = spark.createDataFrame(rows, "file string, compressed string").repartition(3)
+        packs.write_object(df, F.struct("compressed"), str(at))
+        assert at.read_text(encoding="utf-8") == json.dumps({k: {"compressed": v} for k, v in sorted(rows)}, ensure_ascii=False, indent=2)
+    folder = skill.export(spark, saved, str(tmp_path / "skill"))
+    for name, content in skill.documents(spark, packs.load(spark, saved)).items():
+        assert (tmp_path / "skill" / name).read_text(encoding="utf-8") == content, name
+    assert folder == str(tmp_path / "skill")
+
+
 def test_batches_and_fallbacks(spark):
     pending = spark.createDataFrame([(f"f{k:02}", ["s()"] if k % 2 else [], [], "text") for k in range(11)], "file string, signatures array<string>, dependencies array<string>, compressed string")
     assert {r["summary"] for r in enrich.summarize(pending, "mock").collect()} == {"A fixed summary."}
