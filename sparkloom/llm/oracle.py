@@ -111,3 +111,17 @@ SELECT doc_id,
        len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
 FROM docs
 """
+
+# crc32 bit by bit over the digits of doc_id, as DuckDB has no function for it; the empty string is the end token, which no word is
+LM_BASE = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(xor(list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::UBIGINT),
+           lambda a, b: list_reduce(range(8)::UBIGINT[], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END, xor(a, b)), 4294967295::UBIGINT), 4294967295::UBIGINT) % 7 = 2, false) AS held_out,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+tokens AS (SELECT doc_id, held_out, unnest(list_append(w, '')) AS t FROM docs),
+counts AS (SELECT t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY t),
+totals AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens,
+       round(1000 * sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1)::DOUBLE)))::BIGINT AS base_thousandths
+FROM tokens LEFT JOIN counts USING (t), totals GROUP BY doc_id, held_out
+"""

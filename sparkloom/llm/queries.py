@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, lm_scoring, near_dedup, oracle, packing, quality, secrets, substring_dedup, toxicity, url_filters, warc
 from .common import table
@@ -60,6 +61,12 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
+def lm_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_lm_scoring that SQL can express; the base score in thousandths, as sums differ in their last bits."""
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round(1000 * F.col("base_score")).cast("long").alias("base_thousandths"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "quality_base_counts": quality_base_counts,
     "secret_counts": secret_counts,
+    "lm_base_counts": lm_base_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": oracle.OP8,
     "quality_base_counts": oracle.QUALITY_BASE,
     "secret_counts": oracle.SECRET_COUNTS,
+    "lm_base_counts": oracle.LM_BASE,
 }
