@@ -242,6 +242,12 @@ def flagged(edges: DataFrame, files: DataFrame) -> DataFrame:
     return internal(edges).join(scored, "dst", "left").select("src", "dst", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
+def overview(edges: DataFrame, files: DataFrame, low: float = 0.34) -> DataFrame:
+    """(src, dst, confidence, low, top): the edges of a whole tree, whether the target needs a look and the source is a root."""
+    tops = roots(files, edges).select(F.col("file").alias("src"), F.lit(True).alias("top"))
+    return flagged(edges, files).join(tops, "src", "left").select("src", "dst", "confidence", (F.col("confidence") < low).alias("low"), F.coalesce("top", F.lit(False)).alias("top"))
+
+
 def link_candidates(files: DataFrame, edges: DataFrame, file: str) -> DataFrame:
     """(file): what could still be linked from a file."""
     taken = internal(edges).where(F.col("src") == file).select(F.col("dst").alias("file"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import features, graph, references, scoring, search, secrets, snapshots, tech_stack
 from ..sources import ignore_rules, project_tree
-from . import fixed_cases
+from . import fixed_cases, jobs, skill
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -446,5 +446,71 @@ def tech_stack_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tech_stack.tech_stack(lines.select(F.lit("requirements.txt").alias("file"), "content")).select("ord", "manifest", "language", "package_manager", joined("dependencies"), "dependencies_truncated")
 
 
+# ---- views, selections and strings
+
+
+@query(f"""WITH {PROJECT}, own AS (SELECT src, dst FROM edges WHERE kind = 'internal'), tops AS (SELECT file FROM files WHERE file NOT IN (SELECT dst FROM own)),
+scored AS (SELECT file, coalesce(nullif(doc_id % 10, 0) / 10.0::DOUBLE, 1.0::DOUBLE) AS confidence FROM files)
+SELECT src, dst, confidence, confidence < 0.34::DOUBLE AS low, src IN (SELECT file FROM tops) OR (SELECT count(*) FROM tops) = 0 AS top FROM own JOIN scored ON file = dst""")
+def tree_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the documents' project with confidences made of their ids, some unknown."""
+    edges = graph.build(project(spark, sf_dir))
+    d = F.col("doc_id")
+    name = F.concat(F.lit("pkg"), (d % 7).cast("string"), F.lit("/d"), d.cast("string"), F.lit(".py"))
+    return graph.overview(edges, table(spark, sf_dir, "documents").select(name.alias("file"), F.nullif(d % 10, F.lit(0)).cast("double").alias("k")).select("file", (F.col("k") / 10).alias("confidence")))
+
+
+@query(f"""WITH {PROJECT}, items AS (
+  SELECT src, string_agg('- depends on' || CASE WHEN kind = 'internal' THEN '' ELSE ' (external)' END || ': `' || dst || '`', chr(10) ORDER BY kind = 'external', ord) AS t FROM edges GROUP BY src)
+SELECT file, chr(10) || '## `' || file || '`' || chr(10) || coalesce(t, '- (no dependencies)') AS line FROM files LEFT JOIN items ON src = file""")
+def relationship_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project(spark, sf_dir)
+    return skill.relationship_lines(graph.build(files), files)
+
+
+@query("""SELECT 'd' || doc_id || '.txt' AS file, '| `d' || doc_id || '.txt` | ' || printf('%.2f', (doc_id % 10) / 10.0::DOUBLE) || ' | ' || replace(replace(text, '|', '\\|'), chr(10), ' ') || ' |' AS line FROM documents""")
+def file_table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as the summaries of a table of files."""
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.col("text").alias("summary"), (F.col("doc_id") % 10 / 10).alias("confidence"))
+    return skill.file_lines(files)
+
+
+@query("""WITH f AS (SELECT 'd' || doc_id || '.txt' AS file, source, (doc_id % 10) / 10.0::DOUBLE AS confidence, string_split(text, ' ') AS s FROM documents)
+SELECT file, source AS summary, confidence, CASE WHEN confidence >= 0.67::DOUBLE THEN 'high' WHEN confidence >= 0.34::DOUBLE THEN 'medium' ELSE 'low' END AS level,
+       array_to_string(s[:10], '|') AS signatures, CAST(greatest(0, len(s) - 10) AS INTEGER) AS more_signatures FROM f""")
+def review_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files for a review, with the words of whole texts as signatures: ten shown, the rest counted."""
+    d = F.col("doc_id")
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), d.cast("string"), F.lit(".txt")).alias("file"), F.col("source").alias("summary"), (d % 10 / 10).alias("confidence"), F.split("text", " ").alias("signatures"))
+    return scoring.review(files).withColumn("signatures", joined("signatures"))
+
+
+@query(f"""WITH {SECRETS}, scanned AS (SELECT *, doc_id IN (SELECT doc_id FROM first) AS dangerous FROM documents)
+SELECT 'd' || doc_id || '.txt' AS file, CAST(dangerous AS INTEGER) AS overridden FROM scanned WHERE lang <> 'de' AND (NOT dangerous OR n_chars > 500)""")
+def chosen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A person's choice by name (all languages but one), with long dangerous files taken in spite of their findings."""
+    named = lambda cond: table(spark, sf_dir, "documents").where(cond).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"))
+    return secrets.select_files(secrets.scan(files_of(spark, sf_dir), LOOSE), named("lang <> 'de'"), named("n_chars > 500")).select("file", "overridden")
+
+
+@query(r"""SELECT doc_id, replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '') AS quoted, CASE WHEN length(text) <= 20 THEN text ELSE '…' || right(text, 19) END AS tail FROM documents""")
+def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.yaml_quoted(F.col("text")).alias("quoted"), text.tail(F.col("text"), 20).alias("tail"))
+
+
+@query("""WITH e AS (SELECT event_id, event_id * 97 % 300000 AS s FROM events)
+SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || ' min ago' WHEN s < 86400 THEN s // 3600 || ' h ago' ELSE s // 86400 || ' d ago' END AS age FROM e""")
+def ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long ago each event was, at moments up to some days later."""
+    later = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") * 97 % 300000).cast("decimal(18,6)"))
+    return table(spark, sf_dir, "events").select("event_id", text.age(F.col("ts"), later).alias("age"))
+
+
+@query("SELECT o_custkey AS pack, max(o_orderkey) AS opened FROM orders GROUP BY o_custkey ORDER BY opened DESC LIMIT 8")
+def recent_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight newest entries, one per pack: customers stand for packs, their orders for the times they were opened."""
+    return jobs.newest(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pack"), F.col("o_orderkey").alias("opened")))
+
+
 QUERIES |= fixed_cases.QUERIES
 ORACLE_SQL |= fixed_cases.ORACLE_SQL

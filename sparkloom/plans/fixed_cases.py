@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import features, graph, references, search, secrets, snapshots, tech_stack
+from ..sources import project_tree
+from . import enrich
 from . import pack as packs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +199,38 @@ def _scanner(file: str, content: str) -> dict | bool | None:
     return {"reason": "own rule", "line": 1, "matched_text": content} if file == "a.txt" else False if file == "b.txt" else None
 
 
+TREE = (
+    ("a.py", b"x\r\ny"), ("node_modules/z.py", b""), ("sub/build/q.py", b""), ("k.log", b""), ("bad.py", b"\xff\xfe"), ("gen/x.py", b""), ("keep/k.py", "é".encode()), ("own.tmp", b""), ("docs/r.md", b"r"), ("z.md", b""),
+)
+
+
+def collected_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in, root and the call's own ignore patterns, include patterns and files that aren't text."""
+    raw = spark.createDataFrame([(n, bytearray(b)) for n, b in TREE], "file string, bytes binary")
+    return project_tree.collected(raw, include=["*.py", "docs/", "*.tmp"], ignore=["*.tmp"], gitignore="# made\ngen/\n")
+
+
+def mocked_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries in requests of eight from the provider with fixed replies."""
+    return enrich.summarize(features.features(_files(spark, CODE)), "mock")
+
+
+CORRECTIONS = (
+    (1, "name", None, "shop"), (2, "rule_add", None, "one"), (3, "rule_add", None, "two"), (4, "rule_replace", "1", "uno"), (5, "rule_remove", None, "2"), (6, "summary", "app.py", "Runs."),
+    (7, "link", "lib/util.py", "app.py"), (8, "summary", "none.py", "x"), (9, "unlink", "app.py", "lib/util.py"), (10, "rule_remove", None, "7"), (11, "summary", "notes.txt", " "),
+)
+
+
+def corrected_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of corrections: what they change, and what of them couldn't be applied."""
+    made, problems = packs.apply_corrections(_pack(spark), spark.createDataFrame(list(CORRECTIONS), packs.CORRECTIONS))
+    parts = [
+        made.project.select(F.lit("name").alias("kind"), F.col("name").alias("value")), made.project.select(F.lit("rules"), F.array_join("rules", "|")), made.files.select(F.lit("summary"), F.concat_ws(": ", "file", "summary")),
+        graph.internal(made.edges).select(F.lit("edge"), F.concat_ws(" > ", "src", "dst")), spark.createDataFrame([("problem", x) for x in problems], "kind string, value string"),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
 ALL = "\n".join(["import lib.util", "import os", "", "def run(path):", f"    {MARK}"])
 EXPECTED: dict[str, tuple[Query, str, str]] = {
     "code_features": (code_features, "file, signatures, dependencies, api", _rows(*((n, *e) for n, _, e in CODE))),
@@ -225,6 +259,17 @@ EXPECTED: dict[str, tuple[Query, str, str]] = {
     ),
     "shared_base_names": (shared_base_names, "src, dst", _rows(("readme.txt", "a/__init__.py"), ("readme.txt", "b/__init__.py"), ("y.txt", "a/__init__.py"), ("y.txt", "b/__init__.py"), ("c d/e-f.txt", "x.txt"))),
     "external_scanner": (external_scanner, "file, reason, line, matched_text", _rows(("a.txt", "own rule", 1, 'password = "x"'), ("c.txt", "PASSWORD\\s*=\\s*[\\\"']", 2, 'password = "x"'))),
+    "collected_tree": (collected_tree, "file, content", _rows(("a.py", "x\ny"), ("keep/k.py", "é"), ("docs/r.md", "r"))),
+    "mocked_summaries": (mocked_summaries, "file, summary", _rows(*((n, "A fixed summary.") for n, _, _ in CODE))),
+    "corrected_pack": (
+        corrected_pack,
+        "kind, value",
+        _rows(
+            ("name", "shop"), ("rules", "uno"), ("summary", "app.py: Runs."), ("summary", "lib/util.py: Defines: clean(text)"), ("summary", "lib/more.py: References: util"), ("summary", "notes.txt: No signatures or dependencies found (structure only)."),
+            ("edge", "lib/more.py > lib/util.py"), ("edge", "notes.txt > app.py"), ("edge", "notes.txt > lib/util.py"),
+            ("problem", "link lib/util.py app.py: an edge from 'lib/util.py' to 'app.py' would close a cycle"), ("problem", "rule_remove  7: no rule 7"), ("problem", "summary none.py: unknown file"),
+        ),
+    ),
 }
 QUERIES: dict[str, Query] = {name: f for name, (f, _, _) in EXPECTED.items()}
 ORACLE_SQL: dict[str, str] = {name: f"SELECT * FROM (VALUES {rows}) t({columns})" for name, (_, columns, rows) in EXPECTED.items()}
