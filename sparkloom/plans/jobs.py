@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,33 @@ from ..sources import project_tree
 from . import pack as packs
 
 KEPT = 20
+LOCKS = 200
+
+
+class PathLocks:
+    """A lock per path, so that changes of different packs don't wait for each other.
+
+    Beyond ``kept`` paths the oldest ones that nobody holds or waits for are forgotten.
+    """
+
+    def __init__(self, kept: int = LOCKS):
+        self.kept, self.guard = kept, threading.Lock()
+        self.known: dict[str, tuple[threading.Lock, list[None]]] = {}
+
+    @contextmanager
+    def of(self, path: str) -> Iterator[None]:
+        with self.guard:
+            lock, users = self.known.setdefault(os.path.normpath(path), (threading.Lock(), []))
+            users.append(None)
+        try:
+            with lock:
+                yield
+        finally:
+            with self.guard:
+                users.pop()
+                free = [p for p, (_, u) in self.known.items() if not u]
+                for old in free[: max(0, len(self.known) - self.kept)]:
+                    del self.known[old]
 
 
 @dataclass

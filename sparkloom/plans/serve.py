@@ -9,7 +9,6 @@ from __future__ import annotations
 import inspect
 import json
 import sys
-import threading
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import IO
@@ -21,7 +20,7 @@ from ..operators import graph
 from ..session import session
 from . import api, settings
 from . import pack as packs
-from .jobs import Jobs
+from .jobs import Jobs, PathLocks
 
 HOST, PORT = "127.0.0.1", 8765
 PROTOCOL = "2024-11-05"
@@ -33,7 +32,7 @@ class Service:
     def __init__(self, spark: SparkSession, settings_path: str = ".sparkloom-settings.json", config: dict | None = None):
         """config: the project and pack that a client starts with, if any."""
         self.config = {"project": None, "pack": None} | (config or {})
-        self.spark, self.jobs, self.settings, self.writing = spark, Jobs(spark), settings_path, threading.Lock()
+        self.spark, self.jobs, self.settings, self.writing = spark, Jobs(spark), settings_path, PathLocks()
         question = lambda f, **names: lambda a: f(**{to: a[name] for name, to in names.items() if a.get(name) not in (None, "")})
         own = {"pack": "pack_path", "project": "project_path"}
         self.get: dict[str, Callable[[dict], object]] = {
@@ -59,7 +58,7 @@ class Service:
         return {"job": self.jobs.start(a["project"], output, selected=a.get("files"), use_cache=not a.get("no_cache"), use_llm=not a.get("no_llm"))}
 
     def _edit(self, change: Callable, a: dict) -> dict:
-        with self.writing:
+        with self.writing.of(a["pack"]):
             packs.edit_saved_edges(self.spark, a["pack"], change, a["file"], a["target"])
         return api.get_relationships(a["pack"])
 

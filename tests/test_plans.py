@@ -1,6 +1,7 @@
 """Packs from end to end, the questions to them, and the registered queries."""
 
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +194,24 @@ def test_tools(saved):
     assert json.loads(replies[2]["result"]["content"][0]["text"]) == ["README.md", "src/a.py"] and replies[3]["result"]["isError"] and "error" in replies[4]
 
 
+def test_locks_are_by_path_and_few():
+    locks, order = jobs.PathLocks(kept=2), []
+
+    def late():
+        with locks.of("p/../x"):
+            order.append("late")
+
+    with locks.of("x"):
+        t = threading.Thread(target=late)
+        t.start()
+        for k in range(5):
+            with locks.of(f"y{k}"):
+                order.append(k)
+        assert "x" in locks.known and "late" not in order
+    t.join(10)
+    assert order == [0, 1, 2, 3, 4, "late"] and len(locks.known) <= 2
+
+
 def test_registered_queries(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
