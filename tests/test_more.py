@@ -95,6 +95,23 @@ def test_mentions_are_verified_once_for_a_shared_name(spark):
     assert references.references(texts, names).count() == 50
 
 
+def test_texts_meet_only_names_whose_rarest_word_they_hold(spark, monkeypatch):
+    made, n, kept = {}, 60, references.cut
+    monkeypatch.setattr(references, "cut", lambda df, name: made.setdefault(name, kept(df, name)))
+    texts = files(spark, [(f"t{k}.txt", f"common example.org/{k}/ and example.org/en/{(k * 7) % n}.html, {k}x.longer") for k in range(n)])
+    names = spark.createDataFrame([(f"example.org/{k}/",) for k in range(n)] + [(f"example.org/en/{k}.html",) for k in range(n)] + [("no/common.none",)], "file string")
+    found = sorted((r["src"], r["dst"]) for r in references.references(texts, names).collect())
+    assert found == sorted([(f"t{k}.txt", f"example.org/{k}/") for k in range(n)] + [(f"t{k}.txt", f"example.org/en/{(k * 7) % n}.html") for k in range(n)])
+    assert made["met"].count() <= 4 * n  # each text holds two numbers; by the longest word all n * n pairs met
+
+
+def test_mentions_end_at_letters_digits_and_underscores_only(spark):
+    contents = {"a.md": "²x.longer", "b.md": "x.longer² ", "c.md": "x.longer\u0301", "d.md": "\u0301x.longer", "e.md": "_x.longer", "f.md": "‿x.longer", "g.md": "longer x.longer-"}
+    expected = [(f, "x.longer") for f in ("c.md", "d.md", "f.md", "g.md")]
+    found = references.references(files(spark, list(contents.items())), spark.createDataFrame([("x.longer",)], "file string"))
+    assert sorted((r["src"], r["dst"]) for r in found.collect()) == expected
+
+
 def test_an_external_command(spark, tmp_path):
     script = tmp_path / "scan.py"
     script.write_text("import json,sys\nt=open(sys.argv[1]).read()\nif 'crash' in t: sys.exit('no')\nm=[{'message':'found it','range':{'start':{'line':2}}}] if 'bad' in t else []\nprint(json.dumps([{'messages':m}]))\n")
