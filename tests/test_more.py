@@ -112,6 +112,24 @@ def test_mentions_end_at_letters_digits_and_underscores_only(spark):
     assert sorted((r["src"], r["dst"]) for r in found.collect()) == expected
 
 
+def test_numbers_are_whole_however_partitions_are_joined(spark):
+    names = spark.range(40_000).select((F.col("id") * 7919 % 40_000 - 20_000).alias("k")).select("k", F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), F.repeat(F.sha2(F.col("k").cast("string"), 256), 4).alias("content"))
+    odd = names.union(spark.createDataFrame([(None, None, "x"), (7, "f7", "twice")], names.schema))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "300k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for by in ("file", "k"):
+            placed = secrets.numbered(odd) if by == "file" else secrets.numbered(odd, by)
+            got = sorted(((r["place"], r[by]) for r in placed.select("place", by, F.length("content")).collect()), key=lambda x: x[0])
+            values = sorted(r[by] for r in odd.where(f"{by} is not null").collect())
+            assert got == list(enumerate([*values, None], 1))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_an_external_command(spark, tmp_path):
     script = tmp_path / "scan.py"
     script.write_text("import json,sys\nt=open(sys.argv[1]).read()\nif 'crash' in t: sys.exit('no')\nm=[{'message':'found it','range':{'start':{'line':2}}}] if 'bad' in t else []\nprint(json.dumps([{'messages':m}]))\n")
