@@ -98,3 +98,19 @@ def test_markdown():
 def test_text():
     got = compress.compress_txt("\n".join(["x" * 300, *["l"] * 14, "", "end"])).splitlines()
     assert len(got) == 10 + 1 + 2 and got[0].endswith("(생략)") and got[10] == "⋮---- (5줄 생략)"
+
+
+def test_the_markdown_query_equals_its_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from sparkloom.plans import catalog
+
+    long = "word " * 60
+    odd = [None, "", "\n", "\n\n", "a\n", " ", "\t", long, f"x\n3. {long}\ny", "- a\n" * 8, f"# {long}", "x\r\ny", "x\ry", "a\x0bb\x0cc\x1cd\x85e\u2028f\u2029g"]
+    odd += [f"{long}\n{c}\n{long}" for c in "\t \u00a0\u1680\u180e\u2003\u200b\u202f\u205f\u3000\r\x0b\x1f\x85\ufeff"] + [f"|{long}|", "```\n" + "a\n" * 15 + "```", "\U0001f600" * 201, "e\u0301" * 150, "\n" + long]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = sorted(con.execute(catalog.ORACLE_SQL["compress_markdown"]).fetchall())
+    got = sorted((r["file"], r["compressed"]) for r in catalog.compress_markdown(spark, str(tmp_path)).collect())
+    assert got == expected and len(got) == len(odd) - 1
