@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -309,6 +310,16 @@ def piece_counts(counts: DataFrame, ends: int, path: str | None = None, rounds:
 
 def score(docs: DataFrame, *, path: str | None = None, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score."""
+    return _scored(docs, path, head, models=True)
+
+
+def base(docs: DataFrame, *, head: int = HEAD) -> DataFrame:
+    """score()'s columns up to base_score, by the same counts and passes over the texts, without pieces and lattices, which only the others need."""
+    return _scored(docs, None, head, models=False).drop("score", "mixed_score")
+
+
+def _scored(docs: DataFrame, path: str | None, head: int, models: bool) -> DataFrame:
+    """score(); without models each word's logarithms are 0 in score and mixed_score."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counts = cut(word_counts(docs), "words")
@@ -323,9 +334,9 @@ def score(docs: DataFrame, *, path: str | None = None, head: int = HEAD) -> Data
         parts = [math.log((1 - unseen) * c / total)] if c and unseen < 1 else []
         return _plus(parts[0] if parts else -math.inf, math.log(unseen) + lp * math.log(10)) / math.log(10)
 
-    pieces = Pieces(piece_counts(counts, ends, path), ends, path)
-    end = pieces.end
-    sent_pieces = spark.sparkContext.broadcast(pieces)
+    pieces = Pieces(piece_counts(counts, ends, path), ends, path) if models else None
+    end = pieces.end if models else 0.0
+    sent_pieces = spark.sparkContext.broadcast(pieces) if models else None
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(sent_pieces.value, path)
@@ -341,29 +352,50 @@ def score(docs: DataFrame, *, path: str | None = None, head: int = HEAD) -> Data
         least = r["level"] + 1 if seen > head else least
         if seen > head:
             break
-    table = cut(counts.select("word", "c", "n").mapInArrow(weigh, "word binary, c bigint, n bigint, lp double, mp double"), "scored")
+    table = cut(counts.select("word", "c", "n").mapInArrow(weigh, "word binary, c bigint, n bigint, lp double, mp double"), "scored") if models else counts.withColumns({"lp": F.lit(0.0), "mp": F.lit(0.0)})
     common = table.where(level >= least).select("word", "c", "lp", "mp").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), zip(*(common.column(n).to_pylist() for n in ("c", "lp", "mp")), strict=True), strict=True)))
     del common
 
     row = "doc_id {0}, row bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, mixed_score double".format(dict(docs.dtypes)["doc_id"])
 
+    def by_models():
+        common = Memo(lambda w: (r := known.value.get(w)) and (r[0], math.log10((r[0] + 1) / bottom), r[1], r[2]))
+
+        def weighed(tokens: list[bytes]) -> tuple:
+            n_known, base, lp, mp, rest = int(ends > 0), math.log10((ends + 1) / bottom), end, mixed(ends, end), []
+            for w, tf in Counter(tokens).items():
+                if (r := common[w]) is None:
+                    rest.append({"word": w, "tf": tf})
+                else:
+                    n_known += tf * (r[0] > 0)
+                    base += tf * r[1]
+                    lp += tf * r[2]
+                    mp += tf * r[3]
+            return n_known, base, lp, mp, rest
+
+        return weighed
+
+    def by_counts():
+        counted = {w: float(r[0]) for w, r in known.value.items()}
+
+        def weighed(tokens: list[bytes]) -> tuple:
+            c = np.array(list(map(counted.get, tokens)), np.float64)  # nan for words that aren't sent
+            sent = ~np.isnan(c)
+            rest = [] if sent.all() else [{"word": w, "tf": tf} for w, tf in Counter(compress(tokens, ~sent)).items()]
+            c = np.append(c[sent], float(ends))
+            return int((c > 0).sum()), float((np.log10((c + 1) / bottom)).sum()), 0.0, 0.0, rest
+
+        return weighed
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, out = Memo(lambda w: (r := known.value.get(w)) and (r[0], math.log10((r[0] + 1) / bottom), r[1], r[2])), None
+        weighed, out = (by_models if models else by_counts)(), None
         for batch in batches:
             if out is None:
                 out = Out(pa.schema([("doc_id", batch.schema.field("doc_id").type), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("mixed_score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))]))
             for doc_id, k, held, text in rows_of([batch], "doc_id", "row", "held", "text"):
                 tokens = lower_words(text)
-                n_known, base, lp, mp, rest = int(ends > 0), math.log10((ends + 1) / bottom), end, mixed(ends, end), []
-                for w, tf in Counter(tokens).items():
-                    if (r := common[w]) is None:
-                        rest.append({"word": w, "tf": tf})
-                    else:
-                        n_known += tf * (r[0] > 0)
-                        base += tf * r[1]
-                        lp += tf * r[2]
-                        mp += tf * r[3]
+                n_known, base, lp, mp, rest = weighed(tokens)
                 out.add(doc_id, k, held, len(tokens) + 1, n_known, base, lp, mp, rest, size=40 * len(rest))
                 if out.full():
                     yield out.take()

@@ -658,6 +658,20 @@ def test_lm_odd_tables(spark):
     assert lm_scoring.score(empty(spark)).collect() == []
 
 
+def test_base_scores_are_made_without_pieces(spark, monkeypatch, tmp_path):
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    pick = lambda df: sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
+    tables = (documents(spark), odd(spark), empty(spark))
+    expected = [pick(lm_scoring.score(t, head=50)) for t in tables]
+    monkeypatch.setattr(lm_scoring, "piece_counts", lambda *_: pytest.fail("base scores need no pieces"))
+    for t, rows in zip(tables, expected, strict=True):
+        got = pick(lm_scoring.base(t, head=50))
+        assert [r[:5] for r in got] == [r[:5] for r in rows] and [r[5] for r in got] == pytest.approx([r[5] for r in rows])
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"], r["n_known"], r["base_thousandths"]) for r in queries.lm_base_counts(spark, str(tmp_path)).collect())
+    assert [r[:2] for r in got] == sorted((r[0], r[3]) for r in expected[0]) and all(r[2] < 0 for r in got)
+
+
 @pytest.mark.parametrize(("bins", "fan"), [(3, substring_dedup.FAN), (1_000_000, substring_dedup.FAN), (3, 5), (100, 4)])
 def test_repeated_passages_equal_brute_force(spark, bins, fan, monkeypatch):
     """In one step and, with a small fan, in two; in bins of a few and of all entries."""
