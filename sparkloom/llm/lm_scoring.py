@@ -11,8 +11,9 @@ Two scores stand beside it.  base_score is an add-one unigram score of whole wor
 word itself, as seen in training, as one more path: the paths through pieces share the mass that Good and Turing leave for
 unseen words (words seen once over all tokens), the whole words the rest.
 
-Counts of all words form a table.  Words common enough that at most HEAD of them exist are sent to every executor; the
-rest of a text's words are joined with the table.
+Counts of all words form a table.  Words of at most LONG bytes, common enough that at most HEAD of them exist, are sent to
+every executor; the rest of a text's words are joined with the table.  What a task holds is bounded in bytes, whatever the
+words' lengths, but for the text at hand.
 
 Nulls, ties, repeats: a null text is an empty one and scores its end alone; a row with a null doc_id is learnt from;
 repeated rows count each; without training rows all counts are 0 and pieces are equally likely; an empty table gives an
@@ -39,6 +40,10 @@ VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD = 7, 2
 #: Words sent to every executor, at most.
 HEAD = 200_000
+#: Bytes of a word that is sent or remembered, at most.
+LONG = 200
+#: Bytes of distinct words that a task counts before it passes them on, about.
+COUNTED = 32_000_000
 #: Added to each piece's count.
 SMOOTHING = 0.1
 #: Passes over the training words that weigh their segmentations.
@@ -244,7 +249,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     marked = docs.select("text", held_out().alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest = Counter(), Counter()
+        train, rest, read = Counter(), Counter(), 0
 
         def flush() -> pa.RecordBatch:
             keys = list(train.keys() | rest.keys())
@@ -255,8 +260,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for text, held in rows_of(batches, "text", "held"):
             (rest if held else train).update(lower_words(text))
-            if len(train) + len(rest) >= 1_000_000:
+            read += len(text or b"")
+            if read >= COUNTED and (read := sum(map(len, train)) + sum(map(len, rest))) >= COUNTED // 2 or len(train) + len(rest) >= 1_000_000:
                 yield flush()
+                read = 0
         yield flush()
 
     return marked.mapInArrow(run, "word binary, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -347,13 +354,15 @@ def _scored(docs: DataFrame, path: str | None, head: int, models: bool) -> DataF
 
     level = F.floor(8 * F.log2(F.col("n"))).cast("int")
     least, seen = 0, 0
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["level"]):  # at most 8 levels per doubling
+    short = F.length("word") <= LONG
+    for r in sorted(counts.where(short).groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["level"]):  # at most 8 levels per doubling
         seen += r["k"]
         least = r["level"] + 1 if seen > head else least
         if seen > head:
             break
     table = cut(counts.select("word", "c", "n").mapInArrow(weigh, "word binary, c bigint, n bigint, lp double, mp double"), "scored") if models else counts.withColumns({"lp": F.lit(0.0), "mp": F.lit(0.0)})
-    common = table.where(level >= least).select("word", "c", "lp", "mp").toArrow()
+    sent = short & (level >= least)
+    common = table.where(sent).select("word", "c", "lp", "mp").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), zip(*(common.column(n).to_pylist() for n in ("c", "lp", "mp")), strict=True), strict=True)))
     del common
 
@@ -365,7 +374,7 @@ def _scored(docs: DataFrame, path: str | None, head: int, models: bool) -> DataF
         def weighed(tokens: list[bytes]) -> tuple:
             n_known, base, lp, mp, rest = int(ends > 0), math.log10((ends + 1) / bottom), end, mixed(ends, end), []
             for w, tf in Counter(tokens).items():
-                if (r := common[w]) is None:
+                if (r := common[w] if len(w) <= LONG else None) is None:
                     rest.append({"word": w, "tf": tf})
                 else:
                     n_known += tf * (r[0] > 0)
@@ -396,14 +405,14 @@ def _scored(docs: DataFrame, path: str | None, head: int, models: bool) -> DataF
             for doc_id, k, held, text in rows_of([batch], "doc_id", "row", "held", "text"):
                 tokens = lower_words(text)
                 n_known, base, lp, mp, rest = weighed(tokens)
-                out.add(doc_id, k, held, len(tokens) + 1, n_known, base, lp, mp, rest, size=40 * len(rest))
+                out.add(doc_id, k, held, len(tokens) + 1, n_known, base, lp, mp, rest, size=sum(40 + len(r["word"]) for r in rest))
                 if out.full():
                     yield out.take()
         if out is not None:
             yield out.take()
 
     halves = cut(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), held_out().alias("held"), "text").mapInArrow(read, row + ", rest array<struct<word: binary, tf: bigint>>"), "halves")
-    rest = halves.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.tf").join(table.where(level < least).select("word", "c", "lp", "mp"), "word")
+    rest = halves.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.tf").join(table.where(~sent).select("word", "c", "lp", "mp"), "word")
     rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(bottom))).alias("b"), F.sum(F.col("tf") * F.col("lp")).alias("s"), F.sum(F.col("tf") * F.col("mp")).alias("m"))
     plus = lambda x, y: (F.col(x) + F.coalesce(F.col(y), F.lit(0))).alias(x)
     return halves.drop("rest").join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "k"), F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "b"), plus("score", "s"), plus("mixed_score", "m"))

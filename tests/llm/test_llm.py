@@ -672,6 +672,48 @@ def test_base_scores_are_made_without_pieces(spark, monkeypatch, tmp_path):
     assert [r[:2] for r in got] == sorted((r[0], r[3]) for r in expected[0]) and all(r[2] < 0 for r in got)
 
 
+def test_lm_long_words_are_held_in_bounded_bytes(spark, monkeypatch):
+    """60 words of 1 MB in one partition: no step passes on as much as all of them at once, and none of them is sent."""
+    frame, context, sent = type(spark.range(0)), type(spark.sparkContext), []
+
+    def checked(self, run, *schema, f=frame.mapInArrow):
+        def small(batches):
+            for batch in run(batches):
+                if batch.nbytes > 40_000_000:
+                    raise ValueError(f"{batch.nbytes} bytes at once")
+                yield batch
+
+        return f(self, small, *schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", checked)
+    monkeypatch.setattr(context, "broadcast", lambda self, value, f=context.broadcast: sent.append(value) or f(self, value))
+    table = spark.range(0, 60, 1, 1).selectExpr("id as doc_id", "concat(repeat('X', 1000000), id, ' a A') as text")
+    train = sum(zlib.crc32(str(k).encode()) % 7 != 2 for k in range(60))
+    rows = lm_scoring.base(table).collect()
+    assert sum(len(w) for known in sent for w in known) == 1
+    bottom = 4 * train + (train + 2) + 1
+    assert len(rows) == 60
+    for r in rows:
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (4, 4 - r["held_out"], 4 * train)
+        counts = [not r["held_out"], 2 * train, 2 * train, train]
+        assert r["base_score"] == pytest.approx(sum(math.log10((c + 1) / bottom) for c in counts))
+
+
+def test_lm_long_words_score_by_their_lattices(spark):
+    """A word too long to be sent, common or not, learnt from or not, counts by the join as others do by what is sent."""
+    texts = [f"the {'ab' * 150} {'cd' * 150 if k % 9 else 'é' * 101} {'ab' * 150}" for k in range(40)]
+    train = [t.split() for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    counts = Counter(w.encode() for t in train for w in t)
+    own = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c bigint")
+    pieces = lm_scoring.Pieces(lm_scoring.piece_counts(own, len(train)), len(train))
+    bottom = sum(counts.values()) + len(train) + len(counts) + 1 + 1
+    for r in lm_scoring.score(text_table(spark, texts)).collect():
+        words = texts[r["doc_id"]].encode().split()
+        assert (r["n_tokens"], r["n_known"]) == (5, 1 + sum(counts[w] > 0 for w in words))
+        assert r["score"] == pytest.approx(pieces.end + sum(map(pieces.word, words)))
+        assert r["base_score"] == pytest.approx(sum(math.log10((c + 1) / bottom) for c in [len(train), *(counts[w] for w in words)]))
+
+
 @pytest.mark.parametrize(("bins", "fan"), [(3, substring_dedup.FAN), (1_000_000, substring_dedup.FAN), (3, 5), (100, 4)])
 def test_repeated_passages_equal_brute_force(spark, bins, fan, monkeypatch):
     """In one step and, with a small fan, in two; in bins of a few and of all entries."""
